@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import sys
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from .common import n_partitions, remove, text_or_empty, written
 
 GRAM = 64
 #: Bytes of text in one suffix array.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 17
 #: Bytes of distinct fragments that a task holds before it hands them on.
 HELD_BYTES = 24 << 20
 #: An anchor with more distinct fragments than this is split further, by whole strings.
@@ -85,6 +88,27 @@ def fragments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian number, zeros after the end; one more place."""
+    n = len(data)
+    wide = np.zeros(n + 9, np.uint8)
+    wide[:n] = data
+    key = np.zeros(n + 1, np.uint64)
+    for i in range(8):
+        key = (key << np.uint64(8)) | wide[i : i + n + 1]
+    return key
+
+
+def _zero_bytes(x: np.ndarray) -> np.ndarray:
+    """Leading zero bytes of 64-bit numbers."""
+    zero = np.zeros(len(x), np.int64)
+    for bits, count in ((32, 4), (16, 2), (8, 1)):
+        high = (x >> np.uint64(64 - bits)) == 0
+        zero[high] += count
+        x = np.where(high, x << np.uint64(bits), x)
+    return np.where(x == 0, 8, zero)
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ordered by their first ``depth`` bytes, and the rank of each: equal if those bytes are.
 
@@ -92,11 +116,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     doubling ``h``; groups of one are left alone.
     """
     n = len(data)
-    wide = np.zeros(n + 8, np.uint8)
-    wide[:n] = data
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | wide[i : i + n]
+    key = _words(data)[:n]
     order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
@@ -136,32 +156,24 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         return np.zeros(0, np.int64)
     prior = np.full(n, -1, np.int64)
     prior[order[1:]] = order[:-1]
-    wide = np.zeros(n + most + 8, np.uint8)
-    wide[:n] = data
+    words = _words(data)
     where = np.arange(n)
     reducible = np.zeros(n, bool)
-    reducible[1:] = (prior[1:] > 0) & (data[:-1] == data[prior[1:] - 1]) & (prior[:-1] == prior[1:] - 1)
+    reducible[1:] = (prior[1:] > 0) & (prior[:-1] == prior[1:] - 1) & (data[:-1] == data[prior[1:] - 1])
     base = np.flatnonzero(~reducible)
     shared = np.zeros(len(base), np.int64)
     alive = np.flatnonzero(prior[base] >= 0)
-    reach = most + n  # along a run the first place may share more than ``most``
+    left, right = base[alive], prior[base[alive]]
+    done = 0  # bytes that all places still alive share
     while len(alive):
-        a, b = base[alive] + shared[alive], prior[base[alive]] + shared[alive]
-        ok = (a < n) & (b < n)
-        ok[ok] = data[a[ok]] == data[b[ok]]
-        alive = alive[ok]
-        shared[alive] += 1
-        # whole blocks of eight where they are equal
-        while len(alive):
-            a, b = base[alive] + shared[alive], prior[base[alive]] + shared[alive]
-            ok = (np.maximum(a, b) + 8 <= n) & (shared[alive] < reach)
-            for i in range(8):
-                ok[ok] = data[a[ok] + i] == data[b[ok] + i]
-            if not ok.any():
-                break
-            shared[alive[ok]] += 8
-            if not ok.all():
-                break
+        x = words[np.minimum(left + done, n)] ^ words[np.minimum(right + done, n)]
+        ends = (x != 0) | (np.maximum(left, right) + done + 8 > n)
+        if ends.any():
+            out = alive[ends]
+            # leading zero bytes of the difference are equal bytes; past the text's end nothing is
+            shared[out] = done + np.minimum(_zero_bytes(x[ends]), n - np.maximum(left[ends], right[ends]) - done).clip(0)
+            alive, left, right = alive[~ends], left[~ends], right[~ends]
+        done += 8
     last = np.maximum.accumulate(np.where(reducible, 0, where))
     value = np.zeros(n, np.int64)
     value[base] = shared
@@ -215,6 +227,10 @@ class _Shard:
 
 
 def _deltas(flags: np.ndarray) -> tuple[list[int], list[int]]:
+    if flags.all():
+        return [0], [len(flags)]
+    if not flags.any():
+        return [], []
     edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
     return edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()
 
@@ -368,28 +384,35 @@ def _cut(length: int):
                 yield rows([none, none, none, [k[0] for k, _ in part], [k[1] for k, _ in part], [v[0] for _, v in part], [v[1] for _, v in part]])
 
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for ident, h, t, found in zip(*(batch.column(c) for c in ("id", "h", "t", "found")), strict=True):
-                ident, h, data = ident.as_py(), h.as_py(), t.as_py().encode()
-                for x in found.as_py():
-                    a, s = x["a"], x["s"]
-                    piece = data[s : s + x["n"] + length - 1]
-                    d = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                    for c, v in zip(cols, (ident, h, s, a, d), strict=True):
-                        c.append(v)
+            lists = batch.column("found")
+            flat = lists.flatten()
+            many = np.diff(np.asarray(lists.offsets))
+            ids = np.repeat(np.arange(batch.num_rows), many)
+            anchor, start, count = (flat.field(c).to_numpy() for c in ("a", "s", "n"))
+            digests = np.empty(len(flat), np.int64)
+            triples = zip(anchor.tolist(), start.tolist(), (start + count + length - 1).tolist(), strict=True)
+            i = 0
+            for t, n in zip(batch.column("t"), many.tolist(), strict=True):
+                data = t.as_py().encode()
+                for a, s, e in islice(triples, n):
+                    piece = data[s:e]
+                    digest = blake2b(piece, digest_size=8).digest()
+                    digests[i] = d = int.from_bytes(digest, sys.byteorder, signed=True)
+                    i += 1
                     seen = held.get((a, d))
                     if seen:
                         seen[0] += 1
                     else:
                         held[a, d] = [1, piece]
                         size += len(piece)
-                if len(cols[0]) >= 20_000:
-                    yield rows([*cols, [None] * len(cols[0]), [None] * len(cols[0])])
-                    cols = [[], [], [], [], []]
                 if size > HELD_BYTES:
                     yield from distinct()
                     size = 0
-            yield rows([*cols, [None] * len(cols[0]), [None] * len(cols[0])])
+            none = pa.nulls(len(flat), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(ids)), batch.column("h").take(pa.array(ids)), pa.array(start), pa.array(anchor), pa.array(digests), none, pa.nulls(len(flat), pa.binary())],
+                schema=_PIECES_ARROW,
+            )
         yield from distinct()
 
     return run
