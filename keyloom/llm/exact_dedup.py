@@ -6,7 +6,7 @@ window over each run of equal neighbours (compared in full) chooses the row that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_partitions, text_or_empty
@@ -22,6 +22,15 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: What splitters are sampled from: a text's start and a hash, so that samples stay small however long
+#: texts are, and texts that start alike still spread. The whole text follows in the sort.
+_SPLIT_BY = ("_start", "_h", "_salt")
+
+
+def _start() -> Column:
+    return F.substring("_t", 1, 16)
+
+
 def _frequent(keyed: DataFrame, partitions: int) -> DataFrame:
     """Digests of texts with more copies than half an average partition has rows.
 
@@ -67,10 +76,10 @@ def exact_dedup(
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(parts))).otherwise(F.lit(0))
     dealt = (
         keyed.join(hot, "_h", "left")
-        .select("_id", "_t", "_hot", salt.cast("int").alias("_salt"))
-        .repartitionByRange(parts, "_t", "_salt")
+        .select("_id", "_t", "_hot", "_h", _start().alias("_start"), salt.cast("int").alias("_salt"))
+        .repartitionByRange(parts, *_SPLIT_BY)
     )
-    run = Window.partitionBy("_t", "_salt")
+    run = Window.partitionBy(*_SPLIT_BY, "_t")
     first = run.orderBy(F.col("_id").desc_nulls_last() if keep == "largest" else F.col("_id").asc_nulls_last())
     local = dealt.select(
         "_id",
@@ -125,13 +134,15 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
             "_t",
             F.col(f"_row.`{text}`").isNull().alias("_null"),
             F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in rest]).alias("_rest"),
+            "_h",
+            _start().alias("_start"),
             salt.cast("int").alias("_salt"),
             F.coalesce("_hot", F.lit(False)).alias("_hot"),
         )
-        .repartitionByRange(parts, "_t", "_salt")
+        .repartitionByRange(parts, *_SPLIT_BY)
     )
     order = F.col("_id").desc_nulls_last() if keep == "largest" else F.col("_id").asc_nulls_last()
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_t", "_salt").orderBy(order)))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*_SPLIT_BY, "_t").orderBy(order)))
     one = ranked.where("_rank = 1").withColumn("_sha", F.when(F.col("_hot"), F.sha2("_t", 256)))
     kept = one.join(F.broadcast(whole), "_sha", "left").where(
         F.col("_known").isNull() | F.col("_id").eqNullSafe(F.col("_hot_id"))
