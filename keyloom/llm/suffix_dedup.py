@@ -14,6 +14,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import sys
+import time
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import islice
@@ -471,9 +472,11 @@ def _strip(with_kept: bool):
 
 
 def _release(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps: it does once nothing refers to their plans."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def suffix_dedup(
@@ -504,9 +507,10 @@ def suffix_dedup(
     parts = n_partitions(spark)
     text = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
-    anchors, anchors_at = written(keyed.mapInArrow(_find(length, gram), _ANCHORS), "anchors")
+    anchors, _ = written(keyed.mapInArrow(_find(length, gram), _ANCHORS), "anchors")
     each = anchors.select("id", "h", F.explode("anchors").alias("x")).select("id", "h", "x.a", "x.s", "x.n")
-    shared = each.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    # stored first, so that both sides of the joins below are dealt anew and Spark can split a frequent anchor
+    shared, shared_at = written(each.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "shared")
     found = (
         each.join(shared, "a", "left_semi")
         .groupBy("id", "h")
@@ -514,10 +518,10 @@ def suffix_dedup(
         .select(F.col("id").alias("i2"), F.col("h").alias("h2"), "found")
     )
     same = F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
-    pieces, pieces_at = written(
-        keyed.join(found, same).select("id", "h", "t", "found").mapInArrow(_cut(length), _PIECES), "fragments"
-    )
+    likely, _ = written(keyed.join(found, same).select("id", "h", "t", "found"), "likely")
+    remove(spark, shared_at)
     _release(spark)
+    pieces, _ = written(likely.select("id", "h", "t", "found").mapInArrow(_cut(length), _PIECES), "fragments")
     distinct = pieces.where("data IS NOT NULL").select("anchor", "digest", "weight", "data")
     per_anchor = distinct.groupBy("anchor", "digest").agg(F.count("*").alias("c")).groupBy("anchor").agg(F.count("*").alias("c"))
     crowded, crowded_at = written(per_anchor.where(F.col("c") > most_fragments).select("anchor"), "crowded")
@@ -538,7 +542,7 @@ def suffix_dedup(
         result = result.unionByName(
             strings.join(many, ["p", "q"], "left_semi").select("anchor", "digest", "at", F.lit(1).alias("n")).distinct()
         )
-    repeated, repeated_at = written(
+    repeated, _ = written(
         result.groupBy("anchor", "digest").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "repeats"
     )
     _release(spark)
@@ -552,6 +556,12 @@ def suffix_dedup(
         .agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
         .select(F.col("id").alias("i2"), F.col("h").alias("h2"), "ranges")
     )
-    out = keyed.join(ranges, same, "left").select("id", "t", "ranges").mapInArrow(_strip(with_kept), _OUT)
-    remove(spark, anchors_at, crowded_at)
+    remove(spark, crowded_at)
+    with_text = keyed if with_kept else likely.select("id", "h", "t")
+    out = with_text.join(ranges, same, "left").select("id", "t", "ranges").mapInArrow(_strip(with_kept), _OUT)
+    if not with_kept:  # texts without a shared anchor need not be read again
+        keys = likely.select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct()
+        whole = anchors.select("id", "h", "n_bytes", "sha").join(keys, same, "left_anti")
+        none = F.lit(0).cast("long")
+        out = out.unionByName(whole.select("id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept")))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else []))
