@@ -29,7 +29,7 @@ FAMILIES = {
 }
 BINS = 1 << 12
 #: Labelled rows per language, on average, that the models are fitted on.
-SAMPLE_PER_LANGUAGE = 700
+SAMPLE_PER_LANGUAGE = 500
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
 

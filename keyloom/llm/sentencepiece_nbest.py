@@ -27,7 +27,7 @@ SPACE = "▁"
 UNIT = 1_000_000
 #: What an unknown letter scores below the least piece, as in SentencePiece (fixed value).
 UNKNOWN = 10.0
-_MOST_WORDS = 900_000
+_MOST_WORDS = 700_000
 _AT_ONCE = 2_000_000
 
 
