@@ -23,20 +23,26 @@ from .common import text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Matches what IP does, but tries each run of digits once only, so that long runs take linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBERS = re.compile(r"[0-9+][\x20().0-9+-]*[0-9]")
-_MAIL_CHUNK = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9.@_%+-]*")
+_NUMBERS = re.compile(r"[0-9+][\x20().0-9+-]*+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
 #: Tokens of a candidate segment at most, and characters on each side of a trigger that are looked at.
 MOST_TOKENS = 24
 AROUND = 40
 #: Documents, on average, that the random field is fitted on.
 SAMPLE = 500
+#: Stretches of one document, and characters of one stretch, that the random field is fitted on at most.
+MOST_STRETCHES = 200
+MOST_LETTERS = 4000
 #: An added span must beat the best reading without it by this much.
 MARGIN = 4.0
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\b[aA][tT]\b(?=\W+\w+\W+[dD][oO][tT]\b)|[\[(][aA][tT][\])]")
+_TRIGGER = re.compile(r"[0-9]+|@|\b[aA][tT]\b(?=\W+\w+\W+[dD][oO][tT]\b)|[\[(][aA][tT][\])]")
 _WEIGHT_BITS = 18
 _MOST_FEATURES = 16
 
@@ -55,18 +61,29 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """What EMAIL matches, in linear time: all starts of a run of letters before an ``@`` match or fail alike."""
+    least, at = 0, text.find("@")
+    while at >= 0:
+        before = text[least:at]
+        start = len(before.rstrip(_LOCAL)) + least
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        least = found.end() if found else at + 1
+        at = text.find("@", least)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Pattern matches by kind and start, in code points; leftmost and non-overlapping within a kind.
 
     Each pattern's letters lie within a run of a larger class of letters, so only those runs are read.
     """
     found: dict[str, list[tuple[str, int, int]]] = {k: [] for k in KINDS}
-    if "@" in text:
-        for run in _MAIL_CHUNK.finditer(text):
-            found["email"] += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, run.start(), run.end())]
+    found["email"] = [("email", a, b) for a, b in _emails(text)]
     for run in _NUMBERS.finditer(text):
         a, b = run.span()
-        for m in IP.finditer(text, a, b):
+        for m in _IP.finditer(text, a, b):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                 found["ip"].append(("ip", m.start(), m.end()))
         if b - a >= 13:
@@ -233,7 +250,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     """Fit by averaged large-margin updates on about ``sample`` documents that have base spans.
 
     They are drawn by a hash of the text among documents with a digit or ``@``; only the stretches
-    around triggers reach the driver.
+    around triggers reach the driver. Of a document with over ``MOST_STRETCHES`` those with the least
+    checksums are taken, and stretches of ``MOST_LETTERS`` or more are not learned from. Both bound the
+    sample alone: spans are sought in all of every text.
     """
     text = text_or_empty(text_col)
     likely = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9]{4}|@"))
@@ -244,8 +263,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [t[a:b] for t in batch.column("t").to_pylist() for a, b in windows(t)[:200]]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p in parts if len(p) < 4000], pa.string())], names=["t"])
+            parts = []
+            for t in batch.column("t").to_pylist():
+                short = {t[a:b] for a, b in windows(t) if b - a < MOST_LETTERS}
+                parts += sorted(short, key=lambda p: (zlib.crc32(p.encode()), p))[:MOST_STRETCHES]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["t"])
 
     got = sorted({r[0] for r in likely.where(draw < min(1.0, sample / n)).mapInArrow(cut, "t string").collect()})
     return fit(got, rounds)

@@ -354,6 +354,22 @@ def test_pii(spark, docs, empty):
     assert pii.pii(empty).count() == 0
 
 
+def test_pii_base_spans_equal_the_patterns():
+    rng = random.Random(6)
+    for letters in ("ab@.-_ 1", "1234.+ -()", "0123456789 -", "a@.1 +\n(ü"):
+        for _ in range(3000):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            want = []
+            for k, p in zip(pii.KINDS, (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE), strict=True):
+                for m in p.finditer(text):
+                    d = re.sub("[^0-9]", "", m.group())
+                    if k == "email" or (k == "ip" and all(int(x) < 256 for x in m.group().split("."))) or (k == "card" and 13 <= len(d) <= 19 and pii.luhn(d)) or (k == "phone" and 9 <= len(d) <= 15):
+                        want.append((k, m.start(), m.end()))
+            assert pii.base_spans(text) == want, text
+    for text in ("a" * 300_000 + " @", "1" * 300_000, "+" * 300_000, "a@" * 100_000):  # linear time
+        assert pii.base_spans(text) == []
+
+
 def test_pii_adds_what_patterns_miss():
     seen = [f"text {i} call +1 (98{i % 10}) 555-24{i:02d} or mail ab{i}.x@mail{i}.example.com, host 10.{i}.3.4 end" for i in range(40)]
     model = pii.fit(seen, 3)
