@@ -36,15 +36,15 @@ def domain_name(quality: Column, toxic: Column) -> Column:
 _CLASSES = np.array([5 if b > 127 else 0 if chr(b).isupper() else 1 if chr(b).islower() else 2 if chr(b).isdigit() else 3 if chr(b).isspace() else 4 for b in range(256)], np.uint8)
 
 
-def _inputs(text: str, terms: toxicity.Model) -> np.ndarray:
-    """Figures of the whole text: kinds of letters, words and their repetition, and matches of a lexicon."""
+def _inputs(text: str, terms: toxicity.Model) -> tuple[np.ndarray, int]:
+    """Figures of the whole text: kinds of letters, words and their repetition, and matches of a lexicon; also its words."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     words = text.split()
     n = max(len(words), 1)
     distinct = len(set(words))
     shares = np.bincount(_CLASSES[data], minlength=6) / max(len(data), 1)
     figures = [distinct / n, np.log1p(n), np.log1p(distinct), min(len(data) / n, 40.0), 1.0 / n, float(shares[0] > 0.4), float(shares[4] > 0.12), text.count("\n") / n]
-    return np.concatenate((shares, figures, terms.features(text), [1.0]))
+    return np.concatenate((shares, figures, terms.features(text), [1.0])), len(words)
 
 
 @dataclass
@@ -55,12 +55,14 @@ class Classifier:
     spread: np.ndarray
     terms: toxicity.Model
 
-    def posterior(self, text: str) -> np.ndarray:
+    def posterior(self, text: str) -> tuple[np.ndarray, int]:
+        """How likely the text is of each domain, and its words."""
         if len(self.domains) < 2:
-            return np.ones(len(self.domains))
-        z = (_inputs(text, self.terms) - self.centre) / self.spread @ self.weights
+            return np.ones(len(self.domains)), len(text.split())
+        x, n = _inputs(text, self.terms)
+        z = (x - self.centre) / self.spread @ self.weights
         p = np.exp(z - z.max())
-        return p / p.sum()
+        return p / p.sum(), n
 
 
 def fit_classifier(x: np.ndarray, y: list[str], terms: toxicity.Model, rounds: int = 500, penalty: float = 1e-4) -> Classifier:
@@ -101,11 +103,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_inputs(t.as_py(), shared.value).tobytes() for t in batch.column("t")]
+            rows = [_inputs(t.as_py(), shared.value)[0].tobytes() for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.binary())], names=["y", "x"])
 
     got = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(run, "y string, x binary").collect())
-    x = np.frombuffer(b"".join(r[1] for r in got), np.float64).reshape(len(got), len(_inputs("", terms)))
+    x = np.frombuffer(b"".join(r[1] for r in got), np.float64).reshape(len(got), len(_inputs("", terms)[0]))
     return fit_classifier(x, [r[0] for r in got], terms)
 
 
@@ -135,9 +137,9 @@ def _posteriors(shared):
         for batch in batches:
             counts, flat = [], []
             for t in batch.column("t"):
-                text = t.as_py()
-                counts.append(len(text.split()))
-                flat.append(c.posterior(text))
+                p, n = c.posterior(t.as_py())
+                counts.append(n)
+                flat.append(p)
             lists = pa.array([p.tolist() for p in flat], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(counts, pa.int64()), lists], names=["i", "n", "p"])
 
@@ -261,7 +263,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = np.stack([m.classifier.posterior(t.as_py()) for t in batch.column("t")])
+            p = np.stack([m.classifier.posterior(t.as_py())[0] for t in batch.column("t")])
             copies = _copies(m.rates.of(p), batch.column("u").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(copies)], names=["row", "copies"])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +166,7 @@ class Model:
                 known[w] = self._lookup(w)
             found = list(map(known.__getitem__, words))
         exact = fuzzy = quoted = top = 0.0
-        hits = [i for i, f in enumerate(found) if f]
+        hits = list(compress(range(len(found)), found))
         if hits:
             marks = quotation(text, words, hits)
             for i, q in zip(hits, marks, strict=True):
