@@ -28,9 +28,9 @@ WINDOW = 5
 SAMPLE_PER_CLASS = 4000
 MOST_TERMS = 400
 STEM_LENGTHS = (5, 6, 7, 8)
-#: States that one automaton keeps before it starts anew.
-_MOST_STATES = 200_000
-_MOST_WORDS = 400_000
+#: States that one automaton keeps, and words whose matches are remembered, before it starts anew.
+_MOST_STATES = 50_000
+_MOST_WORDS = 150_000
 
 
 def errors_allowed(term: str) -> int:
