@@ -39,12 +39,14 @@ _CLASSES = np.array([5 if b > 127 else 0 if chr(b).isupper() else 1 if chr(b).is
 def _inputs(text: str, terms: toxicity.Model) -> tuple[np.ndarray, int]:
     """Figures of the whole text: kinds of letters, words and their repetition, and matches of a lexicon; also its words."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    words = text.split()
+    low = text.lower()
+    words = low.split()
     n = max(len(words), 1)
-    distinct = len(set(words))
+    different = set(words)
+    distinct = len(different)
     shares = np.bincount(_CLASSES[data], minlength=6) / max(len(data), 1)
     figures = [distinct / n, np.log1p(n), np.log1p(distinct), min(len(data) / n, 40.0), 1.0 / n, float(shares[0] > 0.4), float(shares[4] > 0.12), text.count("\n") / n]
-    return np.concatenate((shares, figures, terms.features(text), [1.0])), len(words)
+    return np.concatenate((shares, figures, terms.features_of(low, words, different), [1.0])), len(words)
 
 
 @dataclass

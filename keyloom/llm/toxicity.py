@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,11 @@ WINDOW = 5
 SAMPLE_PER_CLASS = 4000
 MOST_TERMS = 400
 STEM_LENGTHS = (5, 6, 7, 8)
-#: States that one automaton keeps, and words whose matches are remembered, before it starts anew.
+#: States that one automaton keeps before it starts anew.
 _MOST_STATES = 50_000
-_MOST_WORDS = 150_000
+#: Words whose first letters lead an automaton nowhere are not looked up; so many letters, and so many beginnings are kept.
+HEAD = 4
+_MOST_HEADS = 200_000
 
 
 def errors_allowed(term: str) -> int:
@@ -66,6 +67,7 @@ class Automaton:
         self.ids: dict[tuple, int] = {}
         self.rows: list[tuple] = []
         self.steps: list[dict[str, int]] = []
+        self.found: list[list[tuple[int, int]]] = []
         self.start = self._state(self._closed({0: 0}), ())
         self.dead = self._state({}, ())
 
@@ -88,6 +90,12 @@ class Automaton:
             self.ids[key] = len(self.rows)
             self.rows.append(key)
             self.steps.append({})
+            best = dict.fromkeys(hit, 0)
+            for node, e in key[0]:
+                for k, allowed in self.ends[node]:
+                    if e <= allowed and best.get(k, 99) > e:
+                        best[k] = e
+            self.found.append(list(best.items()))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -109,21 +117,27 @@ class Automaton:
         """Terms within their mistakes of the word, and the mistakes."""
         if len(self.rows) > _MOST_STATES:
             self._fresh()
-        state = self.start
+        state, dead, steps = self.start, self.dead, self.steps
         for c in word:
+            after = steps[state].get(c)
+            if after is None:
+                after = steps[state][c] = self._step(state, c)
+            if after == dead:
+                return []
+            state = after
+        return self.found[state]
+
+    def alive(self, head: str) -> bool:
+        """Whether any word that begins so may match a term."""
+        state = self.start
+        for c in head:
             after = self.steps[state].get(c)
             if after is None:
                 after = self.steps[state][c] = self._step(state, c)
+            if after == self.dead:
+                return False
             state = after
-            if state == self.dead:
-                return []
-        at, hit = self.rows[state]
-        best = {k: 0 for k in hit}
-        for node, e in at:
-            for k, allowed in self.ends[node]:
-                if e <= allowed and best.get(k, 99) > e:
-                    best[k] = e
-        return list(best.items())
+        return True
 
 
 @dataclass
@@ -146,31 +160,54 @@ class Model:
 
     def _ready(self) -> None:
         self.automaton = Automaton(self.terms)
-        self.known: dict[str, tuple[float, int] | None] = {}
-
-    def _lookup(self, word: str) -> tuple[float, int] | None:
-        found = self.automaton.match(word)
-        hit = max(((self.strength[k] / (1 + e), -e) for k, e in found), default=None)
-        return (float(hit[0]), -hit[1]) if hit else None
+        self.heads: dict[str, bool] = {}
+
+    def _best(self, matches: list[tuple[int, int]]) -> tuple[float, int]:
+        strength, e = max((self.strength[k] / (1 + e), -e) for k, e in matches)
+        return float(strength), -e
+
+    def _matches(self, pieces: set[str]) -> tuple[dict[str, tuple[float, int]], set[str]]:
+        """The words in pieces of a text that a term matches, with the term's strength and the mistakes; also the pieces that aren't one word."""
+        words = set(filter(str.isalnum, pieces))
+        odd = pieces.difference(words)
+        words.update(WORD.findall("\n".join(odd)))
+        if len(self.heads) > _MOST_HEADS:
+            self.heads.clear()
+        heads, match = self.heads, self.automaton.match
+        known = heads.get
+        found = {}
+        for w in [w for w in words if known(w[:HEAD], True)]:
+            head = w[:HEAD]
+            if head not in heads:
+                heads[head] = self.automaton.alive(head)
+            if heads[head] and (matches := match(w)):
+                found[w] = self._best(matches)
+        return found, odd
 
     def features(self, text: str) -> np.ndarray:
         """What the terms in a text add up to: exact, misspelled and quoted matches apart."""
-        words = WORD.findall(text.lower())
-        known = self.known
-        if len(known) > _MOST_WORDS:
-            known.clear()
-        try:
-            found = list(map(known.__getitem__, words))
-        except KeyError:
-            for w in {*words}.difference(known):
-                known[w] = self._lookup(w)
-            found = list(map(known.__getitem__, words))
+        low = text.lower()
+        pieces = low.split()
+        return self.features_of(low, pieces, set(pieces))
+
+    def features_of(self, low: str, pieces: list[str], distinct: set[str]) -> np.ndarray:
+        """The same for a text in lower case that the caller has split at white space."""
+        found, odd = self._matches(distinct)
         exact = fuzzy = quoted = top = 0.0
-        hits = list(compress(range(len(found)), found))
-        if hits:
-            marks = quotation(text, words, hits)
+        hits: list[int] = []
+        if found:
+            if any(q in low for q in QUOTES):
+                words = WORD.findall(low)
+                hits = [i for i, w in enumerate(words) if w in found]
+                marks = quotation(low, words, hits)
+            else:
+                with_hit = {p: [p] for p in found if p in distinct}
+                with_hit |= {p: f for p in odd if (f := [w for w in WORD.findall(p) if w in found])}
+                words = [w for p in pieces if p in with_hit for w in with_hit[p]]
+                hits = list(range(len(words)))
+                marks = [False] * len(words)
             for i, q in zip(hits, marks, strict=True):
-                strength, e = found[i]
+                strength, e = found[words[i]]
                 if q:
                     quoted += strength
                 elif e:
@@ -178,8 +215,9 @@ class Model:
                 else:
                     exact += strength
                     top = max(top, strength)
-        size = np.sqrt(len(words) + 20.0)
-        return np.array([np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), top, 10 * exact / size, 10 * fuzzy / size, min(1.0, len(hits)), np.log1p(len(words))])
+        n_pieces = len(pieces)
+        size = np.sqrt(n_pieces + 20.0)
+        return np.array([np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), top, 10 * exact / size, 10 * fuzzy / size, min(1.0, len(hits)), np.log1p(n_pieces)])
 
     def score(self, text: str) -> float:
         if not len(self.weights):
@@ -189,10 +227,10 @@ class Model:
 
 
 def quotation(text: str, words: list[str], hits: list[int]) -> list[bool]:
-    """For each hit, whether its window of words stands in quotation marks or after a reporting word with one."""
+    """For each hit in the lower-cased text, whether its window of words stands in quotation marks or after a reporting word with one."""
     if not any(q in text for q in QUOTES):
         return [False] * len(hits)
-    spans = [m.span() for m in WORD.finditer(text.lower())]
+    spans = [m.span() for m in WORD.finditer(text)]
     out = []
     for i in hits:
         a, b = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
