@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import toxicity
-from .common import n_partitions, remove, text_or_empty, written
+from .common import text_or_empty, written
 
 #: Labelled rows of each domain, on average, that the classifier is fitted on.
 SAMPLE_PER_DOMAIN = 700
@@ -143,7 +143,8 @@ def _posteriors(shared):
                 counts.append(n)
                 flat.append(p)
             lists = pa.array([p.tolist() for p in flat], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(counts, pa.int64()), lists], names=["i", "n", "p"])
+            others = [c for c in batch.schema.names if c != "t"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(counts, pa.int64()), lists], names=[*others, "n", "p"])
 
     return run
 
@@ -193,8 +194,10 @@ class Mixture:
     rates: Rates
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> tuple[Mixture, DataFrame, str]:
-    """Classifier and rates; also the table ``i, n, p`` of all documents, and its path.
+def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float], kept: list[Column], *, id_col: str = "doc_id", text_col: str = "text") -> tuple[Mixture, DataFrame]:
+    """Classifier and rates; also a stored table of all documents with the columns ``kept``, ``n`` and ``p``.
+
+    Texts are scanned once for it, and the rounds of the fit read only its columns ``n`` and ``p``.
 
     ``targets`` weighs the domains; those it doesn't name get no weight, and names that no label has
     are left out. Weights are scaled to sum to one.
@@ -202,11 +205,11 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *
     classifier = train(docs, labels, id_col=id_col, text_col=text_col)
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in classifier.domains])
     weights = weights / weights.sum() if weights.sum() else np.full(len(weights), 1.0 / max(len(weights), 1))
-    keyed = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"))
+    keyed = docs.select(*kept, text_or_empty(text_col).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    schema = keyed.select("i").schema.add("n", "long").add("p", T.ArrayType(T.DoubleType()))
-    members, path = written(keyed.mapInArrow(_posteriors(shared), schema).coalesce(n_partitions(docs.sparkSession)), "members")
-    return Mixture(classifier, solve(members, weights)), members, path
+    schema = keyed.drop("t").schema.add("n", "long").add("p", T.ArrayType(T.DoubleType()))
+    members, _ = written(keyed.mapInArrow(_posteriors(shared), schema), "members")
+    return Mixture(classifier, solve(members, weights)), members
 
 
 def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -228,7 +231,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     total. Repeated rows have equal rates and draws. Without labels every rate is 1 and ``domain`` null.
     An empty table gives no rows; other columns are not read.
     """
-    mixture, members, _ = fit_mixture(docs, labels, targets, id_col=id_col, text_col=text_col)
+    mixture, members = fit_mixture(docs, labels, targets, [F.col(id_col).alias("i")], id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(mixture)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,27 +251,20 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as they are drawn, all columns unchanged.
 
-    Rates are fitted first; then each row's posteriors are computed again beside it, which costs no
-    shuffle of texts.
+    Rows are stored beside their posteriors while rates are fitted; texts are neither scanned again nor
+    shuffled.
     """
-    mixture, _, path = fit_mixture(docs, labels, targets, id_col=id_col, text_col=text_col)
-    remove(docs.sparkSession, path)
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _draw(F.col(id_col).cast("string")).alias("u")]
+    mixture, members = fit_mixture(docs, labels, targets, kept, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(mixture)
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        text_or_empty(text_col).alias("t"),
-        _draw(F.col(id_col).cast("string")).alias("u"),
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = np.stack([m.classifier.posterior(t.as_py())[0] for t in batch.column("t")])
-            copies = _copies(m.rates.of(p), batch.column("u").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(copies)], names=["row", "copies"])
-
-    schema = packed.select("row").schema.add("copies", "long")
-    drawn = packed.mapInArrow(run, schema).where("copies > 0")
+            if batch.num_rows:
+                copies = _copies(m.rates.of(_matrix(batch.column("p"))), batch.column("u").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(copies)], names=["row", "copies"])
+
+    schema = members.select("row").schema.add("copies", "long")
+    drawn = members.select("row", "p", "u").mapInArrow(run, schema).where("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
