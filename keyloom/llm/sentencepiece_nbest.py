@@ -3,13 +3,14 @@
 Pieces that match a text form a lattice. A forward Viterbi pass gives each place the best score of
 what precedes it; as that is exact, it serves a backward A* search as its heuristic, which then takes
 the segmentations best first. Where no piece reaches across a place the lattice falls apart into
-words, each solved once.
+words with the spaces before them, each solved once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -35,9 +36,9 @@ class Lattice:
     """A vocabulary as a lattice of pieces.
 
     Piece scores are log probabilities. A BPE model has ranks in their place; they are read as a Zipf
-    law, so a piece of rank ``r`` has a probability in proportion to ``1 / (r + 1)``. Control pieces,
-    and longer pieces that the model can't produce (scores of -1e8 or less), are left out; single letters
-    with such scores get the least of the others. A letter without a piece is spelled in byte pieces and scores less than any piece.
+    law, so a piece of rank ``r`` has a probability in proportion to ``1 / (r + 1)``. Control pieces are
+    left out; pieces with scores of -1e8 or less, among them those of several space marks, get the least of
+    the others. A letter without a piece is spelled in byte pieces and scores less than any piece.
     """
 
     def __init__(self, model: bytes) -> None:
@@ -59,7 +60,7 @@ class Lattice:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
                 if sp.get_score(i) > -1e8:
                     raw[i] = sp.get_score(i)
-                elif len(piece) == 1:
+                else:
                     last.append(i)
         raw |= dict.fromkeys(last, min(raw.values(), default=0.0))
         ranks = all(v <= 0 and float(v).is_integer() for v in raw.values())
@@ -75,8 +76,10 @@ class Lattice:
         self.tails: dict[str, int] = {}
         for p in self.piece:
             self.tails[p[-2:]] = max(self.tails.get(p[-2:], 0), len(p))
-        self.separable = not any(SPACE in p[1:] for p in self.piece)
+        # a unit is a run of spaces and the word after it, if no piece reaches from a word into spaces
+        self.separable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece)
         self.breaks = not any("\n" in p for p in self.piece)
+        self.units = re.compile(rf"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.breaks else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         plain = sp.normalize("  a  ﬁ B\n")
         self.identity = plain.replace(SPACE, " ") in ("   a  ﬁ B\n", "  a  ﬁ B\n")
         self.sp = sp
@@ -119,18 +122,28 @@ class Lattice:
         return best, edges
 
     def n_best(self, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` best segmentations, best first, as score and ids; ties by fewer, then lower ids from the end."""
+        """The ``n`` best segmentations, best first, as score and ids.
+
+        Among paths of equal promise the one nearest to its end goes first: a long run of spaces has
+        more of them than could be tried side by side. Ties are in the order in which they end.
+        """
         best, edges = self.viterbi(s)
         out: list[tuple[int, tuple[int, ...]]] = []
-        todo = [(-best[len(s)], 0, (), len(s), 0)]
+        todo: list[tuple] = [(-best[len(s)], len(s), 0, 0, None)]
+        turn = 0
         while todo and len(out) < n:
-            _, _, path, at, score = heapq.heappop(todo)
+            _, at, _, score, path = heapq.heappop(todo)
             if at == 0:
-                out.append((score, tuple(i for ids in reversed(path) for i in ids)))
+                found: list[int] = []
+                while path:
+                    ids, path = path
+                    found += ids
+                out.append((score, tuple(found)))
                 continue
             for i, v, ids in edges[at]:
                 # the forward score is exact, so what is taken first is best
-                heapq.heappush(todo, (-(best[i] + v + score), len(path) + 1, (*path, ids), i, score + v))
+                turn += 1
+                heapq.heappush(todo, (-(best[i] + v + score), i, turn, score + v, (ids, path)))
         return out
 
     # whole texts
@@ -189,20 +202,8 @@ class Lattice:
         """The words that no piece reaches across, in the order of the text."""
         if not self.identity:
             text = self.sp.normalize(text).replace(SPACE, " ").removeprefix(" " if self.dummy else "")
-        before = SPACE if self.dummy else ""
-        if not self.separable:
-            return [before + text.replace(" ", SPACE)]
-        if self.breaks and self.dummy and SPACE not in text:
-            text = (SPACE + text).replace("\n", " \n").replace(" ", " " + SPACE)
-            return text.replace(SPACE + "\n", "\n").split(" ")
-        if self.breaks:
-            text = text.replace("\n", " \n")  # cut there too; the mark is taken back below
-        out = [SPACE + w for w in text.split(" ")]
-        if not self.dummy:
-            out[0] = out[0][1:]
-        if self.breaks:
-            out = [w[1:] if w[1:2] == "\n" else w for w in out]
-        return [w for w in out if w]
+        text = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
+        return self.units.findall(text) if self.separable else [text]
 
     def encode_all(self, texts: list[str], n: int) -> Iterator[tuple[bytes, list[int]]]:
         """For each text the best segmentation's ids, as 32-bit numbers, and the scores of the ``n`` best."""
