@@ -205,8 +205,8 @@ class Lattice:
         text = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
         return self.units.findall(text) if self.separable else [text]
 
-    def encode_all(self, texts: list[str], n: int) -> Iterator[tuple[bytes, list[int]]]:
-        """For each text the best segmentation's ids, as 32-bit numbers, and the scores of the ``n`` best."""
+    def encode_all(self, texts: list[str], n: int) -> Iterator[tuple[list[bytes], list[int]]]:
+        """For each text the ids, as 32-bit numbers, and the scores of the ``n`` best segmentations."""
         if len(self.words) > _MOST_WORDS:
             self._reset()
         split = [self._split(t) if t else [] for t in texts]
@@ -217,34 +217,57 @@ class Lattice:
         number, ids = self.number.__getitem__, self.ids.__getitem__
         for words in split:
             if not words:
-                yield b"", [0]
+                yield [b""], [0]
                 continue
             parts = list(map(number, words))
             at = np.array(parts)
-            yield b"".join(map(ids, parts)), self._scores(int(best[at].sum()), gap[at], at, n)
+            total = int(best[at].sum())
+            chosen = self._choices(gap[at], at, n)
+            plain = list(map(ids, parts))
+            found = []
+            for _, changes in chosen:
+                mine = plain.copy() if changes else plain
+                for place, k in changes:
+                    mine[place] = array("i", self.ranked[parts[place]][k][1]).tobytes()
+                found.append(b"".join(mine))
+            yield found, [total - loss for loss, _ in chosen]
+
+    def encode_n(self, text: str, n: int) -> list[tuple[list[int], int]]:
+        """The ids and scores of the ``n`` best segmentations of a text, best first."""
+        found, scores = list(self.encode_all([text], n))[0]
+        return [(np.frombuffer(ids, "i4").tolist(), score) for ids, score in zip(found, scores, strict=True)]
 
     def encode(self, text: str, n: int) -> tuple[list[int], list[int]]:
-        ids, scores = list(self.encode_all([text], n))[0]
-        return np.frombuffer(ids, "i4").tolist(), scores
-
-    def _scores(self, total: int, gaps: np.ndarray, at: np.ndarray, n: int) -> list[int]:
-        """The best ``n`` sums with one segmentation of each word.
-
-        Each sum after the best changes a word, and only the ``n - 1`` words that lose least can be
+        """The best segmentation's ids, and the scores of the ``n`` best."""
+        found = self.encode_n(text, n)
+        return found[0][0], [score for _, score in found]
+
+    def _alternatives(self, p: int, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The ``n`` best segmentations of a word, the one in ``ids`` first."""
+        if p not in self.ranked or len(self.ranked[p]) < n:
+            own = tuple(np.frombuffer(self.ids[p], "i4").tolist())
+            found = self.n_best(self.words[p], n)
+            # where others tie with it, it may come later or not at all
+            self.ranked[p] = [(self.best[p], own), *(f for f in found if f[1] != own)][:n]
+        return self.ranked[p]
+
+    def _choices(self, gaps: np.ndarray, at: np.ndarray, n: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+        """The best ``n`` ways to segment each word: what they lose, and which words take which alternative.
+
+        Each after the best changes a word, and only the ``n - 1`` words that lose least can be
         among them; their own ``n`` best are found by A*.
         """
         open_words = np.flatnonzero(gaps >= 0)
+        found: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
         if n < 2 or not len(open_words):
-            return [total]
+            return found
         if len(open_words) > n - 1:
             open_words = open_words[np.argpartition(gaps[open_words], n - 2)[: n - 1]]
-        sums = [0]
-        for p in at[open_words].tolist():
-            if p not in self.ranked or len(self.ranked[p]) < n:
-                self.ranked[p] = self.n_best(self.words[p], n)
-            losses = [self.best[p] - s for s, _ in self.ranked[p]]
-            sums = heapq.nsmallest(n, (a + b for a in sums for b in losses))
-        return [total - s for s in sums]
+        for place in open_words.tolist():
+            p = int(at[place])
+            losses = [self.best[p] - score for score, _ in self._alternatives(p, n)]
+            found = heapq.nsmallest(n, ((a + b, (*c, (place, k)) if k else c) for a, c in found for k, b in enumerate(losses)))
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space that encoding puts first."""
@@ -263,7 +286,7 @@ def _lattice(shared, key: str) -> Lattice:
     return _workers[key]
 
 
-def _encoded(lattice: Lattice, column: pa.Array, n: int) -> Iterator[tuple[str, bytes, list[int]]]:
+def _encoded(lattice: Lattice, column: pa.Array, n: int) -> Iterator[tuple[str, list[bytes], list[int]]]:
     """Texts with their segmentations, a bounded amount of text at a time."""
     texts, size = [], 0
     for t in column:
@@ -276,12 +299,13 @@ def _encoded(lattice: Lattice, column: pa.Array, n: int) -> Iterator[tuple[str,
 
 
 def segmentations(docs: DataFrame, model_file: str, *, n: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per input row: ``id_col, n_pieces, best_score, nbest_scores, ids_sha256, round_trip``.
+    """One row per input row: ``id_col, n_pieces, best_score, nbest_scores, ids_sha256, round_trip, nbest_ids_sha256``.
 
     ``nbest_scores`` has the scores of the ``n`` best segmentations of the whole text, best first (fewer
     where there are fewer), as log probabilities; ``ids_sha256`` digests the best one's ids as
-    little-endian 32-bit numbers (``ids`` themselves too if ``with_ids``); ``round_trip`` tells if they
-    decode to the text. A null text is empty: no pieces, score 0. Texts with the space mark U+2581
+    little-endian 32-bit numbers; ``round_trip`` tells if they decode to the text. ``nbest_ids_sha256`` has
+    such digests of all ``n``, in the order of their scores. With ``with_ids`` the numbers themselves are
+    added, ``ids`` of the best and ``nbest_ids`` of all ``n``. A null text is empty: no pieces, score 0. Texts with the space mark U+2581
     itself decode to spaces, as in the library. Repeated rows give repeated results, null identifiers
     stay null, an empty table gives no rows, and other columns are not read.
     """
@@ -296,18 +320,21 @@ def segmentations(docs: DataFrame, model_file: str, *, n: int = 3, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared, key)
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text, ids, scores in _encoded(lattice, batch.column("t"), n):
-                numbers = np.frombuffer(ids, "i4")
-                digest = hashlib.sha256(numbers.astype("<i4").tobytes()).hexdigest()
-                listed = numbers.tolist()
-                row = (len(listed), scores[0] / UNIT, [s / UNIT for s in scores], digest, lattice.decode(listed) == text, listed if with_ids else None)
+            out: list[list] = [[] for _ in range(8)]
+            for text, found, scores in _encoded(lattice, batch.column("t"), n):
+                numbers = [np.frombuffer(ids, "i4") for ids in found]
+                digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in numbers]
+                listed = numbers[0].tolist()
+                every = [x.tolist() for x in numbers] if with_ids else None
+                row = (len(listed), scores[0] / UNIT, [s / UNIT for s in scores], digests[0], lattice.decode(listed) == text, digests, listed if with_ids else None, every)
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["i", "n_pieces", "best_score", "nbest_scores", "ids_sha256", "round_trip", "ids"])
+            numbered = pa.list_(pa.int32())
+            kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_(), pa.list_(pa.string()), numbered, pa.list_(numbered)]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["i", "n_pieces", "best_score", "nbest_scores", "ids_sha256", "round_trip", "nbest_ids_sha256", "ids", "nbest_ids"])
 
     schema = keyed.select("i").schema.add("n_pieces", "long").add("best_score", "double").add("nbest_scores", T.ArrayType(T.DoubleType()))
-    schema = schema.add("ids_sha256", "string").add("round_trip", "boolean").add("ids", T.ArrayType(T.IntegerType()))
+    schema = schema.add("ids_sha256", "string").add("round_trip", "boolean").add("nbest_ids_sha256", T.ArrayType(T.StringType()))
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType())))
     out = keyed.mapInArrow(run, schema).withColumnRenamed("i", id_col)
-    return out if with_ids else out.drop("ids")
+    return out if with_ids else out.drop("ids", "nbest_ids")
