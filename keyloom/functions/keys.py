@@ -76,14 +76,22 @@ def common_suffix_length(a: Column, b: Column) -> Column:
 
 
 def readable_size(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB with two decimals."""
-    kb = 1024.0
-    text = lambda by, unit: F.concat(F.format_string("%.2f", n / F.lit(by)), F.lit(unit))
+    """Bytes as B, KB, MB or GB with two decimals, the exact value's nearest; ties go to the even digit."""
+    n = n.cast("long")
+
+    def text(bits: int, unit: str) -> Column:
+        rest = n.bitwiseAND(F.lit((1 << bits) - 1)) * 100
+        part, left = F.shiftright(rest, bits), rest.bitwiseAND(F.lit((1 << bits) - 1))
+        half = 1 << (bits - 1)
+        part = part + F.when((left > half) | ((left == half) & (part % 2 == 1)), 1).otherwise(0)
+        whole = F.shiftright(n, bits) + F.when(part == 100, 1).otherwise(0)
+        return F.concat(whole.cast("string"), F.lit("."), F.lpad((part % 100).cast("string"), 2, "0"), F.lit(unit))
+
     return (
-        F.when(n < kb, F.concat(n.cast("long").cast("string"), F.lit(" B")))
-        .when(n < kb**2, text(kb, " KB"))
-        .when(n < kb**3, text(kb**2, " MB"))
-        .otherwise(text(kb**3, " GB"))
+        F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B")))
+        .when(n < 1 << 20, text(10, " KB"))
+        .when(n < 1 << 30, text(20, " MB"))
+        .otherwise(text(30, " GB"))
     )
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import common_prefix_length
-from ..plans.scratch import scratch_path
+from .ordered import numbered, with_prior
 
 BLOCK = 64
+#: Rows between the places where posting lists are cut.
+LIST_ROWS = 1 << 16
 
 
 def dictionary(df: DataFrame, key: str) -> DataFrame:
@@ -22,38 +24,37 @@ def ranked(keys: DataFrame, key: str, *, by: Column | None = None, rank: str = "
     Keys are range-partitioned, sorted and written once; a key's place is its row number in its file
     after the rows of the files before, so no task sees more than its own range.
     """
-    spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    path = scratch_path(spark, "dictionary")
-    order = F.col(key) if by is None else by
-    cols = keys.columns
-    keys.withColumn("_by", order).repartitionByRange(parts, "_by").sortWithinPartitions("_by").write.parquet(path)
-    placed = spark.read.schema(keys.schema).parquet(path).select(*cols, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    sizes = placed.groupBy("_file").agg(F.count("*").alias("_n"))  # a row for each file
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_file").select(*cols, (F.col("_start") + F.col("_row")).alias(rank))
-
-
-def postings(df: DataFrame, key: str, row_id: str) -> DataFrame:
-    """Each key with the ascending list of its row identifiers.
-
-    A list is one value, so this suits keys whose lists fit a row; ``posting_deltas`` gives the same as
-    rows for keys of any frequency.
+    return numbered(keys, [F.col(key) if by is None else by], rank)
+
+
+def postings(df: DataFrame, key: str, row_id: str, *, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Each key's ascending row identifiers as ``key, part, rows``.
+
+    Rows are numbered in the order of key and identifier, and a list ends where the number reaches a
+    multiple of ``list_rows``; ``part`` counts those places. So no list is longer than that, and a key
+    with any share of the rows is spread over tasks. The lists of a key follow one another by ``part``.
     """
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(row_id)).alias("rows"))
+    if list_rows < 1:
+        raise ValueError("list_rows is at least 1")
+    each = numbered(df.select(key, row_id), [F.col(key), F.col(row_id)], "part")
+    cut = each.withColumn("part", F.floor(F.col("part") / list_rows).cast("long"))
+    return cut.groupBy(key, "part").agg(F.sort_array(F.collect_list(row_id)).alias("rows"))
 
 
 def posting_list_deltas(lists: DataFrame) -> DataFrame:
-    """Posting lists with each identifier as the difference to the one before."""
+    """Posting lists with each identifier as the difference to the one before in its list."""
     diff = lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("rows"), i - 1))
     return lists.withColumn("deltas", F.transform("rows", diff))
 
 
 def posting_deltas(df: DataFrame, key: str, row_id: str) -> DataFrame:
-    """The difference of each row identifier to the one before it under its key, as rows."""
-    w = Window.partitionBy(key).orderBy(row_id)
-    return df.select(key, row_id, (F.col(row_id) - F.coalesce(F.lag(row_id).over(w), F.lit(0))).alias("delta"))
+    """The difference of each row identifier to the one before it under its key, as rows.
+
+    Ranges of the order are separate tasks, so a key with any share of the rows is spread.
+    """
+    chained = with_prior(df.select(key, row_id), [F.col(key), F.col(row_id)], [key, row_id])
+    same = F.col("prior").isNotNull() & F.col(f"prior.{key}").eqNullSafe(F.col(key))
+    return chained.select(key, row_id, (F.col(row_id) - F.when(same, F.col(f"prior.{row_id}")).otherwise(F.lit(0))).alias("delta"))
 
 
 def key_offsets(df: DataFrame, key: str, row_id: str) -> DataFrame:
@@ -62,10 +63,14 @@ def key_offsets(df: DataFrame, key: str, row_id: str) -> DataFrame:
 
 
 def group_starts(df: DataFrame, key: str, within: str, row_id: str) -> DataFrame:
-    """Rows where the key differs from the row before, in the order of ``row_id`` within ``within``."""
-    w = Window.partitionBy(within).orderBy(row_id)
-    before = F.lag(key).over(w)
-    return df.select(within, row_id, key, (before.isNull() | (before != F.col(key))).alias("starts"))
+    """Rows where the key differs from the row before, in the order of ``row_id`` within ``within``.
+
+    The first row of each ``within`` starts a group; a null key equals a null key. Ranges of the order
+    are separate tasks.
+    """
+    chained = with_prior(df.select(within, row_id, key), [F.col(within), F.col(row_id)], [within, key])
+    same = F.col("prior").isNotNull() & F.col(f"prior.{within}").eqNullSafe(F.col(within)) & F.col(f"prior.{key}").eqNullSafe(F.col(key))
+    return chained.select(within, row_id, key, (~same).alias("starts"))
 
 
 def front_code(ranked_keys: DataFrame, key: str, rank: str = "key_id", block: int = BLOCK) -> DataFrame:
@@ -77,8 +82,9 @@ def front_code(ranked_keys: DataFrame, key: str, rank: str = "key_id", block: in
 
 
 def encode_keys(df: DataFrame, key: str, ranked_keys: DataFrame, rank: str = "key_id") -> DataFrame:
-    """``df`` with the key replaced by its place in the dictionary."""
-    return df.join(ranked_keys.select(key, rank), key).drop(key)
+    """``df`` with the key replaced by its place in the dictionary; a null key is the empty one."""
+    filled = df.withColumn(key, F.coalesce(F.col(key), F.lit("")))
+    return filled.join(ranked_keys.select(key, rank), key).drop(key)
 
 
 def decode_keys(df: DataFrame, ranked_keys: DataFrame, key: str, rank: str = "key_id") -> DataFrame:

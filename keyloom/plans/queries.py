@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keys as K
 from ..operators import dictionary as D
 from ..operators import lookup as L
 from ..operators import rows as R
-from ..sources.tables import read_table
+from ..sources.tables import read_lines, read_records, read_table
+from ..streaming.ingest import append_stream
 from .scratch import scratch_path
 from .store import Store
 
@@ -101,11 +103,77 @@ def _text_keys(spark: SparkSession, d: str) -> DataFrame:
     return D.front_code(before, "url").select("key_id", F.col("shared").cast("long").alias("shared"), "rest")
 
 
+def _half_empty(spark: SparkSession, d: str) -> DataFrame:
+    """Events of which every seventh has no key."""
+    return _events(spark, d).withColumn("event_type", F.when(F.col("event_id") % 7 != 0, F.col("event_type")))
+
+
+def _decoded_nulls(spark: SparkSession, d: str) -> DataFrame:
+    e = _half_empty(spark, d)
+    keys = D.ranked(D.dictionary(e, "event_type"), "event_type")
+    return D.decode_keys(D.encode_keys(e, "event_type", keys), keys, "event_type")
+
+
+def _lines_back(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with and without a carriage return, written as text and read again."""
+    path = scratch_path(spark, "lines")
+    names = read_table(spark, d, "nation").select(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, F.lit("\r")).otherwise(F.lit(""))))
+    names.write.mode("overwrite").text(path)
+    return read_lines(spark, path).select(F.col("value").alias("n_name"))
+
+
+def _records_back(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as text, some of which don't parse, and the lines of those."""
+    path = scratch_path(spark, "records")
+    number = F.when(F.col("n_nationkey") % 5 == 3, F.lit("many")).otherwise(F.col("n_nationkey").cast("string"))
+    read_table(spark, d, "nation").select(F.concat_ws(",", number, "n_name")).write.mode("overwrite").text(path)
+    good, bad = read_records(spark, path, schema=T.StructType.fromDDL("number long, name string"))
+    return good.select("number", F.col("name").alias("text")).unionByName(bad.select(F.lit(None).cast("long").alias("number"), F.col("line").alias("text")))
+
+
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    store = _filled(spark, d)
+    store.validate()
+    return spark.range(1).select(F.lit(True).alias("sound"))
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The newest segment without its mark of success and the newest manifest cut short, repaired."""
+    store = _filled(spark, d)
+    last = store._manifest()
+    store.fs.delete(store._at(f"{last['segments'][-1]['name']}/_SUCCESS"), False)
+    name = f"manifest-{last['number']:010d}"
+    store.fs.delete(store._at(name), False)
+    store.fs.create(store._at(name)).close()
+    store.repair()
+    return store.rows()
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as files and appended to a store by a stream, which is then run again."""
+    path = scratch_path(spark, "landing")
+    rows = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    store, checkpoint = Store(spark, f"{path}/store"), f"{path}/checkpoint"
+    for i in range(2):
+        rows.where(F.col("c_custkey") % 2 == i).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        append_stream(stream, store, ["c_mktsegment"], checkpoint).awaitTermination()
+    return store.rows(with_segment=False)
+
+
+def _dumped(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "nation").select("n_nationkey", "n_name")
+    lines = read_table(spark, d, "region").select(F.concat(F.lit("?"), "r_name"))
+    return Store(spark, scratch_path(spark, "dump")).build(rows, ["n_name"], lines).append(rows.where("n_nationkey < 9"), lines).dump(separator="|")
+
+
 _CUSTOMERS = "FROM customer"
 _FILLED_SQL = """WITH filled AS (
   SELECT c_custkey, c_name, c_mktsegment, 1 AS segment_id FROM customer WHERE c_custkey % 2 = 0
   UNION ALL SELECT c_custkey, c_name, c_mktsegment, 2 FROM customer WHERE c_custkey % 2 = 1
   UNION ALL SELECT c_custkey, c_name, c_mktsegment, 3 FROM customer WHERE c_custkey % 5 = 0)"""
+_FRAME = "concat(" + ", ".join(f"lpad(hex(strlen({{c}}) // {256**i} % 256), 2, '0')" for i in range(4)) + ", hex(encode({c})))"
+_PARTS = f"WITH parts AS (SELECT event_type, event_id, (row_number() OVER (ORDER BY event_type, event_id) - 1) // {D.LIST_ROWS} AS part FROM events)"
 _COUNTERS = "SELECT sum(n)::BIGINT AS found, (sum(n) - count(*))::BIGINT AS dupes, count(*) AS saved FROM"
 
 #: Each query with its SQL.
@@ -180,11 +248,15 @@ ALL: dict[str, tuple[Query, str]] = {
     ),
     "postings_event_type": (
         lambda s, d: D.postings(_events(s, d), "event_type", "event_id"),
-        "SELECT event_type, list(event_id ORDER BY event_id) AS rows FROM events GROUP BY event_type",
+        f"{_PARTS} SELECT event_type, part, list(event_id ORDER BY event_id) AS rows FROM parts GROUP BY event_type, part",
     ),
     "posting_list_deltas": (
-        lambda s, d: D.posting_list_deltas(D.postings(_events(s, d), "event_type", "event_id")).select("event_type", "deltas"),
-        "SELECT event_type, list(delta ORDER BY event_id) AS deltas FROM (SELECT event_type, event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id), 0) AS delta FROM events) GROUP BY event_type",
+        lambda s, d: D.posting_list_deltas(D.postings(_events(s, d), "event_type", "event_id")).select("event_type", "part", "deltas"),
+        f"{_PARTS} SELECT event_type, part, list(delta ORDER BY event_id) AS deltas FROM (SELECT event_type, part, event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY event_type, part ORDER BY event_id), 0) AS delta FROM parts) GROUP BY event_type, part",
+    ),
+    "postings_cut": (
+        lambda s, d: D.postings(_events(s, d), "event_type", "event_id", list_rows=100).select("event_type", "part", F.size("rows").cast("long").alias("n")),
+        "SELECT event_type, part, count(*) AS n FROM (SELECT event_type, (row_number() OVER (ORDER BY event_type, event_id) - 1) // 100 AS part FROM events) GROUP BY event_type, part",
     ),
     "postings_delta": (
         lambda s, d: D.posting_deltas(_order_rows(s, d), "o_orderstatus", "o_orderkey"),
@@ -240,7 +312,7 @@ ALL: dict[str, tuple[Query, str]] = {
     ),
     "frames_encode": (
         lambda s, d: read_table(s, d, "pages").select("page_id", F.hex(R.frame(["url"])).alias("frame")),
-        "SELECT page_id, concat(lpad(hex(strlen(url) % 256), 2, '0'), lpad(hex(strlen(url) // 256), 2, '0'), '0000', hex(encode(url))) AS frame FROM pages",
+        f"SELECT page_id, {_FRAME.format(c='url')} AS frame FROM pages",
     ),
     "reverse_bytes": (
         lambda s, d: read_table(s, d, "nation").select("n_nationkey", F.hex(K.reverse_bytes(F.col("n_name"))).alias("reversed")),
@@ -248,6 +320,44 @@ ALL: dict[str, tuple[Query, str]] = {
     ),
     "readable_size": (
         lambda s, d: read_table(s, d, "documents").select("doc_id", K.readable_size(F.col("n_chars")).alias("size")),
-        "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.2f KB', n_chars / 1024.0) END AS size FROM documents",
+        """SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.2f KB', n_chars / 1024.0)
+        WHEN n_chars < 1073741824 THEN printf('%.2f MB', n_chars / 1048576.0) ELSE printf('%.2f GB', n_chars / 1073741824.0) END AS size FROM documents""",
+    ),
+    "readable_size_large": (
+        lambda s, d: read_table(s, d, "documents").select("doc_id", K.readable_size(F.col("doc_id") * F.col("n_chars") * 40503).alias("size")),
+        """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0)
+        WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size FROM (SELECT doc_id, doc_id * n_chars * 40503 AS n FROM documents)""",
+    ),
+    "encode_null_keys": (
+        _decoded_nulls,
+        "SELECT event_id, user_id, event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS key_id FROM (SELECT event_id, user_id, CASE WHEN event_id % 7 <> 0 THEN event_type ELSE '' END AS event_type FROM events)",
+    ),
+    "lookup_across_segments": (
+        lambda s, d: L.lookup(_filled(s, d).indexed(), "c_mktsegment", "exact", "BUILDING"),
+        f"{_FILLED_SQL} SELECT DISTINCT c_custkey, c_name, c_mktsegment FROM filled WHERE c_mktsegment = 'BUILDING'",
+    ),
+    "lookup_in_order": (
+        lambda s, d: _filled(s, d).lookup("c_mktsegment", "prefix", "A", ordered=True),
+        f"{_FILLED_SQL} SELECT DISTINCT c_custkey, c_name, c_mktsegment FROM filled WHERE starts_with(c_mktsegment, 'A')",
+    ),
+    "byte_needle_suffix": (
+        lambda s, d: L.lookup(_filled(s, d).indexed(), "c_name", "suffix", b"77"),
+        f"{_FILLED_SQL} SELECT DISTINCT c_custkey, c_name, c_mktsegment FROM filled WHERE ends_with(c_name, '77')",
+    ),
+    "matched_frames": (
+        lambda s, d: _filled(s, d).frames("c_name", "contains", "11", ["c_mktsegment"]).select(F.hex("frame").alias("frame")),
+        f"{_FILLED_SQL} SELECT DISTINCT {_FRAME.format(c='c_mktsegment')} AS frame FROM filled WHERE contains(c_name, '11')",
+    ),
+    "read_lines_back": (_lines_back, "SELECT n_name FROM nation"),
+    "read_records_back": (
+        _records_back,
+        "SELECT CASE WHEN n_nationkey % 5 <> 3 THEN n_nationkey::BIGINT END AS number, CASE WHEN n_nationkey % 5 = 3 THEN 'many,' || n_name ELSE n_name END AS text FROM nation",
+    ),
+    "validate_store": (_validated, "SELECT true AS sound"),
+    "repair_roundtrip": (_repaired, f"{_FILLED_SQL} SELECT * FROM filled WHERE segment_id < 3"),
+    "stream_append": (_streamed, f"SELECT c_custkey, c_name, c_mktsegment {_CUSTOMERS}"),
+    "dump_lines": (
+        _dumped,
+        "SELECT concat(n_nationkey, '|', n_name) AS line FROM nation UNION ALL SELECT concat(n_nationkey, '|', n_name) FROM nation WHERE n_nationkey < 9 UNION ALL SELECT '?' || r_name FROM region UNION ALL SELECT '?' || r_name FROM region",
     ),
 }

@@ -9,12 +9,22 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place that the driver and all executors see: under ``spark.checkpoint.dir`` where it is set."""
+    """A new place that the driver and all executors see: under ``spark.checkpoint.dir`` where it is set.
+
+    Where it isn't, a temporary folder serves a local master; on a cluster other machines would not see
+    that, so it is an error there. The place is deleted when the driver's JVM ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.keyloom.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
         spark.conf.set("spark.keyloom.scratch", base)
-    return f"{base.rstrip('/')}/keyloom/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/keyloom/{name}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def file_system(spark: SparkSession, path: str):

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.store import Store, StoreError
+from ..plans.store import Store
 
 
 def append_stream(stream: DataFrame, store: Store, keys: list[str], checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Each micro-batch becomes a segment; the first builds the store if there is none.
 
-    After a failure a batch may come again; ``Store.compact`` drops its repeated rows.
+    The store keeps the number of the last batch of each checkpoint, so a batch that comes again after a
+    failure is not appended twice. Any error of an existing store stops the stream and leaves the store.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        try:
-            store.append(batch)
-        except StoreError:
-            store.build(batch, keys)
+        if store.exists():
+            store.append(batch, batch=(checkpoint, number))
+        else:
+            store.build(batch, keys, batch=(checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

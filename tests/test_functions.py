@@ -1,16 +1,23 @@
+from decimal import ROUND_HALF_EVEN, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import keys as K
 
+#: One or more cases for each rule, in the order of the rules.
 DOMAINS = [
-    ("example.com", "example.com"), ("EXAMPLE.COM", "example.com"), ("www.example.com", "example.com"),
-    ("https://example.com", "example.com"), ("https://User@Sub.Example.co.uk:8080/path?q#f", "example.co.uk"),
-    ("example.com:8080", "example.com"), ("example.com/path", "example.com"), ("deep.site.com.mx", "site.com.mx"),
-    ("api.site.co.uk", "site.co.uk"), ("co.uk", "co.uk"), ("a.b.c.d", "c.d"), ("1.2.3.4", "1.2.3.4"),
-    ("10.0.0.1:8080", "10.0.0.1"), ("https://[2001:db8::1]:8080/path", "2001:db8::1"), ("[2001:db8::1]:8080", "2001:db8::1"),
-    ("münchen.example.com", "example.com"), ("", ""), (".", ""), (None, ""), ("https://a.com/@bob", "bob"),
-    ("a..b..com", "b.com"), ("localhost", "localhost"), ("...a.b.", "a.b"), ("x.y.com.au", "y.com.au"), ("a.b\n.com", "b\n.com"),
+    ("KIOSK.Fjord.NO", "fjord.no"), ("ÄRGER.kiosk.de", "kiosk.de"),
+    ("gopher://old://shelf.io", "old"), ("//plain.io", ""), ("ftp://files.shelf.io", "shelf.io"),
+    ("mail:pw@x@y.post.dk", "post.dk"), ("http://shop.li/list/@tea", "tea"), ("u@[::1]:99", "::1"),
+    ("a.shelf.io?to=b.post.dk", "shelf.io"), ("post.dk#top.li", "post.dk"), ("post.dk;v=1/2", "post.dk"), ("q.post.dk/a?b#c", "post.dk"),
+    ("[fe80::7:8]/x", "fe80::7:8"), ("[plain]", "[plain]"), ("[]", "[]"),
+    ("kiosk.de:0", "kiosk.de"), (":80", ""), ("tcp://a.kiosk.de:1:2", "kiosk.de"),
+    ("..kiosk.de..", "kiosk.de"), ("....", ""), (None, ""), ("   ", "   "),
+    ("one...two....three", "two.three"), ("lonely", "lonely"),
+    ("192.0.2.44", "192.0.2.44"), ("7..8", "7..8"), ("192.0.2.x4", "2.x4"), ("2024", "2024"),
+    ("tea.shop.med.pl", "shop.med.pl"), ("w.tea.ltd.uk", "tea.ltd.uk"), ("ltd.uk", "ltd.uk"), ("w.tea.ltd.com", "ltd.com"),
+    ("w.tea.shop.pl", "shop.pl"), ("w.tea.co.u1", "co.u1"), ("w.tea..gouv.fr", "tea.gouv.fr"),
 ]
 
 
@@ -41,7 +48,15 @@ def test_common_lengths(spark):
 
 
 def test_sizes_lengths_schemes(spark):
-    got = spark.createDataFrame([(0,), (1023,), (1024,), (5 << 20,), (3 << 30,)], "n long").select(K.readable_size(F.col("n"))).collect()
-    assert [r[0] for r in got] == ["0 B", "1023 B", "1.00 KB", "5.00 MB", "3.00 GB"]
+    sizes = [0, 1023, 1024, 1152, 1408, 5 << 20, (1 << 20) - 1, (5 << 20) + (1 << 17), 3 << 30, (3 << 30) + (3 << 27), (1 << 62) + 1, 1234567, None]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select(K.readable_size(F.col("n"))).collect()
+
+    def exact(n):
+        if n is None or n < 1024:
+            return n if n is None else f"{n} B"
+        k, unit = next((k, u) for k, u in ((3, "GB"), (2, "MB"), (1, "KB")) if n >= 1024**k)
+        return f"{(Decimal(n) / 1024**k).quantize(Decimal('0.01'), ROUND_HALF_EVEN)} {unit}"
+
+    assert [r[0] for r in got] == [exact(n) for n in sizes] and got[3][0] == "1.12 KB"
     row = spark.range(1).select(K.little_endian_length(F.encode(F.repeat(F.lit("x"), 50108), "UTF-8")), K.has_scheme(F.lit("ab+c://x")), K.has_scheme(F.lit("1a://x"))).first()
     assert (bytes(row[0]).hex(), row[1], row[2]) == ("bcc30000", True, False)
