@@ -9,24 +9,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lets Spark delete the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and kept in the session's own setting.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a temporary folder is made and kept in the
+    session's own setting, on a local master only: on a cluster no other machine would see it, so it is
+    an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.keyloom.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
         spark.conf.set("spark.keyloom.scratch", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
+    """A new place in the application's part of the shared folder, which is deleted when the driver's JVM ends."""
+    root = f"{shared_dir(spark)}/keyloom/{spark.sparkContext.applicationId}"
+    fs, p = _fs(spark, root)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -47,10 +58,18 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a table in the shared folder, and its path: lineage ends there and survives lost executors."""
+    """``df`` as a table in the shared folder, and its path: lineage ends there and survives lost executors.
+
+    The shuffle files of the write go when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -6,15 +6,16 @@ The strings of a text with the same anchor form a fragment of fewer than twice `
 Fragments whose anchor occurs once can't repeat and are set aside. The others are summed to distinct
 fragments with weights and dealt by anchor to shards. A shard gets a suffix array by Larsson-Sadakane
 refinement and common prefixes after Kasai; neighbours that share ``length`` bytes are repeats. An
-anchor whose fragments are cut between shards is merged by binary search of the sorted strings.
+anchor whose fragments are cut between shards is merged by binary search of the sorted strings. Where
+very many different fragments share an anchor, two hashes of each string first tell which can't be
+repeated; the fragments are cut down to the others, which leaves few different ones.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import secrets
 import sys
-import time
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import islice
@@ -31,7 +32,7 @@ GRAM = 64
 SHARD_BYTES = 1 << 17
 #: Bytes of distinct fragments that a task holds before it hands them on.
 HELD_BYTES = 24 << 20
-#: An anchor with more distinct fragments than this is split further, by whole strings.
+#: The fragments of an anchor with more distinct ones than this are cut down first.
 MOST_FRAGMENTS = 1024
 #: Positions of one text that are handled at once.
 _CHUNK = 1 << 19
@@ -117,7 +118,12 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     doubling ``h``; groups of one are left alone.
     """
     n = len(data)
-    key = _words(data)[:n]
+    # seven letters of nine bits, where 0 is past the end: no byte equals it, not even a zero byte
+    wide = np.zeros(n + 7, np.uint64)
+    wide[:n] = data.astype(np.uint64) + np.uint64(1)
+    key = np.zeros(n, np.uint64)
+    for i in range(7):
+        key = (key << np.uint64(9)) | wide[i : i + n]
     order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
@@ -125,7 +131,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     head = np.repeat(starts, np.diff(np.append(starts, n)))  # rank: where the group begins
     rank = np.zeros(n + depth + 1, np.int64)
     rank[order] = head + 1
-    h = 8
+    h = 7
     while h < depth:
         step = min(h, depth - h)
         sizes = np.diff(np.append(starts, n))
@@ -366,8 +372,11 @@ _PIECES_ARROW = pa.schema(
 )
 
 
-def _cut(length: int):
-    """Texts with their shared anchors -> where each fragment is, and each distinct fragment of the task with its weight."""
+def _cut(length: int, key: bytes):
+    """Texts with their shared anchors -> where each fragment is, and each distinct fragment of the task with its weight.
+
+    Fragments are told apart by their anchor and a digest with a key that nobody can know who writes texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -397,7 +406,7 @@ def _cut(length: int):
                 data = t.as_py().encode()
                 for a, s, e in islice(triples, n):
                     piece = data[s:e]
-                    digest = blake2b(piece, digest_size=8).digest()
+                    digest = blake2b(piece, digest_size=8, key=key).digest()
                     digests[i] = d = int.from_bytes(digest, sys.byteorder, signed=True)
                     i += 1
                     seen = held.get((a, d))
@@ -420,22 +429,114 @@ def _cut(length: int):
 
 
 def _strings(length: int):
-    """Each string of a fragment by two hashes, for anchors with very many distinct fragments."""
+    """Each string of a fragment by two hashes."""
     schema = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("weight", pa.int64()), ("at", pa.int32()), ("p", pa.int64()), ("q", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [np.frombuffer(x.as_py(), np.uint8) for x in part.column("data")]
+                sizes = [len(x) - length + 1 for x in rows]
+                owner = pa.array(np.repeat(np.arange(len(rows)), sizes))
+                same = [part.column(c).take(owner) for c in ("anchor", "digest", "weight")]
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                hashes = [pa.array(np.concatenate([rolling(x, length, b) for x in rows]).view(np.int64)) for b in _BASES]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(places), *hashes], schema=schema)
+
+    return run
+
+
+_TRIMMED = "anchor long, digest long, at int, sub long, weight long, data binary"
+
+
+def _trim(length: int, key: bytes):
+    """Fragments and the places of their strings that may be repeated -> a fragment for each run of such places."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["anchor", "digest", "at", "sub", "weight", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for a, d, w, x, ats in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "weight", "data", "ats")), strict=True):
+                flags = np.zeros(len(x) - length + 1, bool)
+                flags[ats] = True
+                for s, n in zip(*_deltas(flags), strict=True):
+                    piece = x[s : s + n + length - 1]
+                    sub = int.from_bytes(blake2b(piece, digest_size=8, key=key).digest(), sys.byteorder, signed=True)
+                    for c, v in zip(out, (a, d, s, sub, w, piece), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _whole_strings(length: int):
+    """Each string of a fragment with its bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                data = np.frombuffer(one.column("data")[0].as_py(), np.uint8)
-                n = len(data) - length + 1
-                hashes = [pa.array(rolling(data, length, b).view(np.int64)) for b in _BASES]
-                same = [pa.array(np.full(n, one.column(c)[0].as_py(), np.int64)) for c in ("anchor", "digest", "weight")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), *hashes], schema=schema)
+                a, d, w, x = (batch.column(c)[i].as_py() for c in ("anchor", "digest", "weight", "data"))
+                n = len(x) - length + 1
+                same = [pa.array(np.full(n, v, np.int64)) for v in (a, d, w)]
+                yield pa.RecordBatch.from_arrays(
+                    [*same, pa.array(np.arange(n, dtype=np.int32)), pa.array([x[k : k + length] for k in range(n)], pa.binary())],
+                    names=["anchor", "digest", "weight", "at", "s"],
+                )
 
     return run
 
 
+def _searched(sums: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """``anchor, digest, at, n``: runs of repeated strings in each distinct fragment, by suffix arrays."""
+    return (
+        sums.select("anchor", "digest", "weight", "data")
+        .repartition(n_partitions(sums.sparkSession), "anchor")
+        .sortWithinPartitions("anchor", "digest")
+        .mapInArrow(_search(length, shard_bytes), "anchor long, digest long, starts array<int>, sizes array<int>")
+        .select("anchor", "digest", F.explode(F.arrays_zip("starts", "sizes")).alias("r"))
+        .select("anchor", "digest", F.col("r.starts").alias("at"), F.col("r.sizes").alias("n"))
+    )
+
+
+def _crowded(sums: DataFrame, most: int) -> tuple[DataFrame, str]:
+    """Anchors with more than ``most`` distinct fragments."""
+    return written(sums.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > most).select("anchor"), "crowded")
+
+
+def _cut_down(dense: DataFrame, length: int, shard_bytes: int, most: int, key: bytes) -> tuple[DataFrame, list[str]]:
+    """As ``_searched`` for anchors with very many distinct fragments, and scratch paths.
+
+    Equal strings have equal hashes, so strings whose two hashes occur once are not repeated. What is
+    left of the fragments is searched like others. Where an anchor has very many different fragments even
+    then, each of their strings is repeated, and they are grouped by their bytes.
+    """
+    strings = dense.select("anchor", "digest", "weight", "data").mapInArrow(
+        _strings(length), "anchor long, digest long, weight long, at int, p long, q long"
+    )
+    many = strings.groupBy("p", "q").agg(F.sum("weight").alias("c")).where("c > 1").select("p", "q")
+    hits = strings.join(many, ["p", "q"], "left_semi").groupBy("anchor", "digest").agg(F.collect_list("at").alias("ats"))
+    trimmed, trimmed_at = written(
+        dense.join(hits, ["anchor", "digest"]).select("anchor", "digest", "weight", "data", "ats").mapInArrow(_trim(length, key), _TRIMMED), "trimmed"
+    )
+    sums, sums_at = written(
+        trimmed.groupBy("anchor", "sub").agg(F.sum("weight").alias("weight"), F.first("data").alias("data")).withColumnRenamed("sub", "digest"), "trimmed-sums"
+    )
+    crowded, crowded_at = _crowded(sums, most)
+    runs = _searched(sums.join(crowded, "anchor", "left_anti"), length, shard_bytes)
+    if not crowded.isEmpty():
+        whole = sums.join(crowded, "anchor", "left_semi").select("anchor", "digest", "weight", "data").mapInArrow(
+            _whole_strings(length), "anchor long, digest long, weight long, at int, s binary"
+        )
+        equal = whole.groupBy("s").agg(F.sum("weight").alias("c")).where("c > 1").select("s")
+        runs = runs.unionByName(whole.join(equal, "s", "left_semi").select("anchor", "digest", "at", F.lit(1).alias("n")))
+    back = trimmed.select("anchor", F.col("sub").alias("s"), F.col("digest").alias("d"), F.col("at").alias("from"))
+    here = runs.select(F.col("anchor").alias("a"), "digest", "at", "n")
+    found = back.join(here, (F.col("anchor") == F.col("a")) & (F.col("s") == F.col("digest")))
+    return found.select("anchor", F.col("d").alias("digest"), (F.col("from") + F.col("at")).alias("at"), "n"), [trimmed_at, sums_at, crowded_at]
+
+
 def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of ranges as maximal ranges."""
     by = np.argsort(starts, kind="stable")
@@ -471,14 +572,6 @@ def _strip(with_kept: bool):
     return run
 
 
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps: it does once nothing refers to their plans."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def suffix_dedup(
     docs: DataFrame,
     *,
@@ -497,14 +590,14 @@ def suffix_dedup(
     text is empty; texts shorter than ``length`` keep all. Repeated rows are copies of each other, also
     with null or equal identifiers (integers). An empty table gives no rows. Other columns aren't read.
 
-    Anchors decide only which strings are compared. A fragment equal to others by 128 bits of hash and
-    anchor counts as their copy. Strings of an anchor with over ``most_fragments`` distinct fragments
-    are matched by two 64-bit hashes instead of in one shard, so that no task gets an unbounded group.
+    Anchors decide only which strings are compared. A fragment equal to others by 128 bits of anchor and
+    keyed digest counts as their copy; the copies that tasks find are summed before fragments are dealt by
+    anchor. Of an anchor with over ``most_fragments`` distinct fragments, strings that two hashes show to
+    be single are cut off first. No task holds more than that many fragments of an anchor.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
     spark = docs.sparkSession
-    parts = n_partitions(spark)
     text = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
     anchors, _ = written(keyed.mapInArrow(_find(length, gram), _ANCHORS), "anchors")
@@ -520,32 +613,23 @@ def suffix_dedup(
     same = F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
     likely, _ = written(keyed.join(found, same).select("id", "h", "t", "found"), "likely")
     remove(spark, shared_at)
-    _release(spark)
-    pieces, _ = written(likely.select("id", "h", "t", "found").mapInArrow(_cut(length), _PIECES), "fragments")
-    distinct = pieces.where("data IS NOT NULL").select("anchor", "digest", "weight", "data")
-    per_anchor = distinct.groupBy("anchor", "digest").agg(F.count("*").alias("c")).groupBy("anchor").agg(F.count("*").alias("c"))
-    crowded, crowded_at = written(per_anchor.where(F.col("c") > most_fragments).select("anchor"), "crowded")
-    hot = not crowded.isEmpty()
-    calm = distinct.join(crowded, "anchor", "left_anti") if hot else distinct
-    result = (
-        calm.repartition(parts, "anchor")
-        .sortWithinPartitions("anchor", "digest")
-        .mapInArrow(_search(length, shard_bytes), "anchor long, digest long, starts array<int>, sizes array<int>")
-        .select("anchor", "digest", F.explode(F.arrays_zip("starts", "sizes")).alias("r"))
-        .select("anchor", "digest", F.col("r.starts").alias("at"), F.col("r.sizes").alias("n"))
+    key = secrets.token_bytes(16)
+    pieces, _ = written(likely.select("id", "h", "t", "found").mapInArrow(_cut(length, key), _PIECES), "fragments")
+    sums, sums_at = written(
+        pieces.where("data IS NOT NULL").groupBy("anchor", "digest").agg(F.sum("weight").alias("weight"), F.first("data").alias("data")), "sums"
     )
-    if hot:
-        strings = distinct.join(crowded, "anchor", "left_semi").mapInArrow(
-            _strings(length), "anchor long, digest long, weight long, at int, p long, q long"
-        )
-        many = strings.groupBy("p", "q").agg(F.sum("weight").alias("c")).where("c > 1").select("p", "q")
-        result = result.unionByName(
-            strings.join(many, ["p", "q"], "left_semi").select("anchor", "digest", "at", F.lit(1).alias("n")).distinct()
-        )
+    crowded, crowded_at = _crowded(sums, most_fragments)
+    scratch = [sums_at, crowded_at]
+    if crowded.isEmpty():
+        result = _searched(sums, length, shard_bytes)
+    else:
+        dense, more = _cut_down(sums.join(crowded, "anchor", "left_semi"), length, shard_bytes, most_fragments, key)
+        scratch += more
+        result = _searched(sums.join(crowded, "anchor", "left_anti"), length, shard_bytes).unionByName(dense)
     repeated, _ = written(
         result.groupBy("anchor", "digest").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "repeats"
     )
-    _release(spark)
+    remove(spark, *scratch)
     ranges = (
         pieces.where("data IS NULL")
         .select("id", "h", "start", "anchor", "digest")
@@ -556,7 +640,6 @@ def suffix_dedup(
         .agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
         .select(F.col("id").alias("i2"), F.col("h").alias("h2"), "ranges")
     )
-    remove(spark, crowded_at)
     with_text = keyed if with_kept else likely.select("id", "h", "t")
     out = with_text.join(ranges, same, "left").select("id", "t", "ranges").mapInArrow(_strip(with_kept), _OUT)
     if not with_kept:  # texts without a shared anchor need not be read again
