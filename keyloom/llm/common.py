@@ -73,6 +73,28 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Held:
+    """What a Python worker makes of broadcast content, kept with it.
+
+    Spark drops a broadcast value from a worker when a task comes that doesn't use it, and what was made of
+    it goes too; so the tables of one stage take no memory from the next.
+    """
+
+    def __init__(self, content) -> None:
+        self.content, self._made = content, None
+
+    def __getstate__(self):
+        return self.content
+
+    def __setstate__(self, content) -> None:
+        self.content, self._made = content, None
+
+    def get(self, make):
+        if self._made is None:
+            self._made = make(self.content)
+        return self._made
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -2,23 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import n_partitions, remove, written
 
 #: More rounds than graphs of any feasible size take; reaching it is an error, never a partial result.
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link neighbours to the least neighbour: those above the node (large) or those below it and itself (small)."""
+class Forest:
+    """The trees that the links met in one task make, so that few links leave the task."""
+
+    #: Nodes that a task holds before it begins anew.
+    MOST = 500_000
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def _find(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def add(self, u: int, v: int) -> bool:
+        """Whether the link joins two trees."""
+        if len(self.parent) > self.MOST:
+            self.parent = {}
+        a, b = self._find(u), self._find(v)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def joined(self, u: int, v: int) -> bool:
+        return self._find(u) == self._find(v)
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Each node with its tree's least node; the forest is empty after it."""
+        out = [(x, root) for x in list(self.parent) if (root := self._find(x)) != x]
+        self.parent = {}
+        return out
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars on the least node of each tree."""
+    forest = Forest()
+
+    def out() -> pa.RecordBatch:
+        found = forest.stars()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        if len(forest.parent) + 2 * batch.num_rows > Forest.MOST:
+            yield out()
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            forest.add(u, v)
+    yield out()
+
+
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """Link neighbours to the least neighbour: those above the node (large) or those below it and itself (small).
+
+    Nodes with more neighbours than half an average partition has rows are at most as many as there are
+    partitions, times four; their least neighbours are broadcast, so that no task gets all their links.
+    """
     if large:
         pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         pairs = edges
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    many = max(count // (2 * n_partitions(edges.sparkSession)), 100)
+    frequent = least.where(F.col("n") > many).select("u", "m")
+    marked = pairs.join(F.broadcast(frequent), "u", "left")
+    others = marked.where("m IS NULL").select("u", "v").join(least.where(F.col("n") <= many).select("u", "m"), "u")
+    joined = marked.where("m IS NOT NULL").select("u", "v", "m").unionByName(others.select("u", "v", "m"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -33,10 +95,11 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
 
     ``component`` is the least node that can be reached. Pairs may repeat and be in any order; nodes
     are compared as numbers. Each round is written to the shared folder, which ends its lineage. A
-    node with very many neighbours is only ever joined or summed, never gathered.
+    node with very many neighbours is spread over tasks; nothing is gathered.
     """
     spark = edges.sparkSession
-    tidy = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    own = edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
+    tidy = own.mapInArrow(_contracted, "u long, v long").distinct()
     now, path = written(tidy, "edges")
     state = None
     for _ in range(MOST_ROUNDS):
@@ -46,7 +109,7 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             ), [path]
         state = tuple(count)
-        after, next_path = written(_star(_star(now, True), False), "edges")
+        after, next_path = written(_star(_star(now, True, count[0]), False, count[0]), "edges")
         remove(spark, path)
         now, path = after, next_path
     raise RuntimeError("components did not settle")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, remove, written
-from .components import connected_components
+from .components import Forest, connected_components
 
 #: Tables and probes for each projection that a key joins: keys of more projections meet less often.
 TABLES = 5
@@ -158,18 +158,11 @@ def _hashed(tables: int, probes: int, blocks: int, scale: float):
     return run
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def _verify(tables: int, probes: int, threshold: float):
-    """Rows sorted by cell -> for each vector its new links, and a forest of links."""
+    """Rows sorted by cell -> for each vector its new links, and a forest of the links in a task's cells."""
     wide = 1 + probes
 
-    def solve(rows: list[tuple], out: list[list]) -> None:
+    def solve(rows: list[tuple], out: list[list], forest: Forest) -> None:
         nid = np.array([r[0] for r in rows])
         role = np.array([r[1] for r in rows])
         side = np.array([r[2] for r in rows])
@@ -178,8 +171,8 @@ def _verify(tables: int, probes: int, threshold: float):
         keys = np.stack([r[5] for r in rows]).reshape(len(rows), tables, wide)
         table = rows[0][6]
         split = rows[0][7]
-        parent = np.arange(len(rows))
         links = np.zeros(len(rows), np.int64)
+        names = nid.tolist()
         edges: list[tuple[int, int]] = []
         for a0 in range(0, len(rows), 512):
             a = np.arange(a0, min(a0 + 512, len(rows)))
@@ -206,22 +199,20 @@ def _verify(tables: int, probes: int, threshold: float):
             np.add.at(links, i[new], weight[j[new]])
             np.add.at(links, j[new], weight[i[new]])
             for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                s, t = _find(parent, p), _find(parent, q)
-                if s != t:
-                    parent[max(s, t)] = min(s, t)
-                    edges.append((p, q))
+                if forest.add(names[p], names[q]):
+                    edges.append((names[p], names[q]))
         for r in np.flatnonzero(links):
             out[0].append(int(nid[r]))
             out[1].append(None)
             out[2].append(int(links[r]))
-        for p, q in edges:
-            out[0].append(int(nid[p]))
-            out[1].append(int(nid[q]))
-            out[2].append(0)
+        for u, v in edges:
+            for c, value in zip(out, (u, v, 0), strict=True):
+                c.append(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, forest = None, [], Forest()
         out: list[list] = [[], [], []]
+
         for batch in batches:
             n = batch.num_rows
             cols = [batch.column(c).to_pylist() for c in ("k", "nid", "role", "side", "w", "t", "split")]
@@ -230,13 +221,14 @@ def _verify(tables: int, probes: int, threshold: float):
                 k = cols[0][i]
                 if k != now:
                     if len(rows) > 1:
-                        solve(rows, out)
+                        solve(rows, out, forest)
                     now, rows = k, []
                 rows.append((cols[1][i], cols[2][i], cols[3][i], cols[4][i], xs[i].values.to_numpy(), ks[i].values.to_numpy(), cols[5][i], cols[6][i]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v", "n"])
-            out = [[], [], []]
+            for c in out:
+                c.clear()
         if len(rows) > 1:
-            solve(rows, out)
+            solve(rows, out, forest)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v", "n"])
 
     return run
@@ -332,11 +324,9 @@ def embedding_dedup(
     heads = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
     groups, _ = written(labelled.join(heads, "part").select("nid", "n_links", "component_id"), "groups")
     remove(spark, nodes_at, hashed_at, crowd_at, found_at, *scratch)
-    done = keyed.select("id", "nid").join(groups, "nid", "left")
-    component = F.when(F.col("nid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return done.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+    found = keyed.where("nid IS NOT NULL").select("id", "nid").join(groups, "nid").select("id", "n_links", "component_id")
+    # rows that link with nothing may be very many; they aren't dealt by their missing key
+    alone = keyed.where("nid IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return found.unionByName(alone).select(
+        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )

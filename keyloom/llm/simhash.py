@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, remove, text_or_empty, written
-from .components import connected_components
+from .components import Forest, connected_components
 
 RADIUS = 3
 #: A shard with more fingerprints is split by blocks of the bits that its key leaves.
@@ -95,41 +95,30 @@ class BKTree:
             at = child
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def _links(radius: int):
-    """Fingerprints sorted by shard -> a forest of the links in each shard."""
+    """Fingerprints sorted by shard -> a forest of the links in a task's shards."""
 
-    def solve(values: list[int]) -> list[tuple[int, int]]:
+    def solve(values: list[int], forest: Forest) -> list[tuple[int, int]]:
         if len(values) == 2:
             a, b = values
-            return [(a, b)] if ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius else []
-        tree, parent, out = BKTree(), list(range(len(values))), []
-        for i, v in enumerate(values):
-            for j in tree.link(v & 0xFFFFFFFFFFFFFFFF, radius):
-                a, b = _find(parent, i), _find(parent, j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((v, values[j]))
+            return [(a, b)] if ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius and forest.add(a, b) else []
+        tree, out = BKTree(), []
+        for v in values:
+            out += [(v, values[j]) for j in tree.link(v & 0xFFFFFFFFFFFFFFFF, radius) if forest.add(v, values[j])]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, values = None, []
+        now, values, forest = None, [], Forest()
         for batch in batches:
             found: list[tuple[int, int]] = []
             for k, v in zip(batch.column("k").to_pylist(), batch.column("fp").to_pylist(), strict=True):
                 if k != now:
                     if len(values) > 1:
-                        found += solve(values)
+                        found += solve(values, forest)
                     now, values = k, []
                 values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
-        found = solve(values) if len(values) > 1 else []
+        found = solve(values, forest) if len(values) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     return run
@@ -231,7 +220,17 @@ def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("b"))
         .select(F.col("b.id").alias("_i"), F.col("b.h").alias("_h"))
     )
-    own = F.xxhash64(text_or_empty(text_col))
-    rows = docs.withColumn("_own_h", own)
-    kept = rows.join(best, rows[id_col].eqNullSafe(best["_i"]) & (rows["_own_h"] == best["_h"]))
-    return kept.dropDuplicates(["_i", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows_of(docs, best, id_col, text_col)
+
+
+def rows_of(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with the identifiers ``_i`` and text hashes ``_h`` of ``best``, one for each.
+
+    A row rides as one value, so its columns may have any names.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    rows = packed.select("row", F.col(f"row.`{id_col}`").alias("i"), F.xxhash64(text).alias("h")).select("*", F.xxhash64("i", "h").alias("k"))
+    chosen = best.select("_i", "_h", F.xxhash64("_i", "_h").alias("k"))
+    kept = rows.join(chosen, "k").where(F.col("i").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")))
+    return kept.dropDuplicates(["i", "h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
