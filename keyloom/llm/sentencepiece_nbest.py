@@ -8,6 +8,7 @@ words with the spaces before them, each solved once.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import re
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import Held, text_or_empty
 
 SPACE = "▁"
 #: Scores are kept as whole numbers of this part, so that sums are exact and ties are ties.
@@ -29,6 +30,8 @@ UNIT = 1_000_000
 #: What an unknown letter scores below the least piece, as in SentencePiece (fixed value).
 UNKNOWN = 10.0
 _MOST_WORDS = 700_000
+#: Letters of the words that a worker remembers.
+_MOST_LETTERS = 24_000_000
 _AT_ONCE = 2_000_000
 
 
@@ -70,9 +73,6 @@ class Lattice:
         self.unk_id = sp.unk_id()
         self.piece = {sp.id_to_piece(i): (i, round(v * UNIT)) for i, v in raw.items()}
         self.unknown = round((min(raw.values(), default=0.0) - UNKNOWN) * UNIT)
-        self.reach: dict[str, int] = {}
-        for p in self.piece:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
         self.tails: dict[str, int] = {}
         for p in self.piece:
             self.tails[p[-2:]] = max(self.tails.get(p[-2:], 0), len(p))
@@ -89,50 +89,46 @@ class Lattice:
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
         self.words: list[str] = []
+        self.letters = 0
         self.ids: list[bytes] = []
         self.best, self.gap = array("q"), array("q")
         self.ranked: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
 
     # one word or text
 
-    def edges(self, s: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """For each end, the pieces that end there: start, score and ids."""
-        n = len(s)
-        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        piece, reach = self.piece, self.reach
-        for i in range(n):
-            one = piece.get(s[i])
-            if one:
-                out[i + 1].append((i, one[1], (one[0],)))
-            else:
-                data = s[i].encode("utf-8", "surrogatepass")
-                out[i + 1].append((i, self.unknown, tuple(self.byte_id.get(b, self.unk_id) for b in data)))
-            for j in range(i + 2, min(n, i + reach.get(s[i : i + 2], 0)) + 1):
-                found = piece.get(s[i:j])
-                if found:
-                    out[j].append((i, found[1], (found[0],)))
-        return out
-
-    def viterbi(self, s: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
-        """The best score of each prefix, and the edges."""
-        edges = self.edges(s)
-        best = [0] * (len(s) + 1)
+    def edges(self, s: str, j: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """The pieces that end at a place: start, score and ids."""
+        one = self.piece.get(s[j - 1])
+        if one:
+            yield j - 1, one[1], (one[0],)
+        else:
+            data = s[j - 1].encode("utf-8", "surrogatepass")
+            yield j - 1, self.unknown, tuple(self.byte_id.get(b, self.unk_id) for b in data)
+        for i in range(j - 2, max(-1, j - 1 - self.tails.get(s[j - 2 : j], 0)), -1):
+            found = self.piece.get(s[i:j])
+            if found:
+                yield i, found[1], (found[0],)
+
+    def viterbi(self, s: str) -> array:
+        """The best score of each prefix."""
+        best = array("q", bytes(8 * (len(s) + 1)))
         for j in range(1, len(s) + 1):
-            best[j] = max(best[i] + v for i, v, _ in edges[j])
-        return best, edges
+            best[j] = max(best[i] + v for i, v, _ in self.edges(s, j))
+        return best
 
     def n_best(self, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best segmentations, best first, as score and ids.
 
         Among paths of equal promise the one nearest to its end goes first: a long run of spaces has
-        more of them than could be tried side by side. Ties are in the order in which they end.
+        more of them than could be tried side by side. Ties are in the order in which they end. What a
+        path promises it also reaches, so of the open paths no more are kept than segmentations lack.
         """
-        best, edges = self.viterbi(s)
+        best = self.viterbi(s)
         out: list[tuple[int, tuple[int, ...]]] = []
         todo: list[tuple] = [(-best[len(s)], len(s), 0, 0, None)]
         turn = 0
         while todo and len(out) < n:
-            _, at, _, score, path = heapq.heappop(todo)
+            _, at, _, score, path = todo.pop(0)
             if at == 0:
                 found: list[int] = []
                 while path:
@@ -140,10 +136,14 @@ class Lattice:
                     found += ids
                 out.append((score, tuple(found)))
                 continue
-            for i, v, ids in edges[at]:
+            lack = n - len(out)
+            for i, v, ids in self.edges(s, at):
                 # the forward score is exact, so what is taken first is best
                 turn += 1
-                heapq.heappush(todo, (-(best[i] + v + score), i, turn, score + v, (ids, path)))
+                promise = -(best[i] + v + score)
+                if len(todo) < lack or promise <= todo[-1][0]:
+                    bisect.insort(todo, (promise, i, turn, score + v, (ids, path)))
+                    del todo[lack:]
         return out
 
     # whole texts
@@ -193,6 +193,7 @@ class Lattice:
             path.reverse()
             self.number[w] = len(self.words)
             self.words.append(w)
+            self.letters += len(w)
             self.best.append(first[n])
             self.gap.append(-1 if second[n] is None else first[n] - second[n])
             self.ids.append(array("i", path).tobytes())
@@ -207,7 +208,7 @@ class Lattice:
 
     def encode_all(self, texts: list[str], n: int) -> Iterator[tuple[list[bytes], list[int]]]:
         """For each text the ids, as 32-bit numbers, and the scores of the ``n`` best segmentations."""
-        if len(self.words) > _MOST_WORDS:
+        if len(self.words) > _MOST_WORDS or self.letters > _MOST_LETTERS:
             self._reset()
         split = [self._split(t) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.number)
@@ -277,15 +278,6 @@ class Lattice:
         return data.decode("utf-8", "replace")
 
 
-_workers: dict[str, Lattice] = {}
-
-
-def _lattice(shared, key: str) -> Lattice:
-    if key not in _workers:
-        _workers[key] = Lattice(shared.value)
-    return _workers[key]
-
-
 def _encoded(lattice: Lattice, column: pa.Array, n: int) -> Iterator[tuple[str, list[bytes], list[int]]]:
     """Texts with their segmentations, a bounded amount of text at a time."""
     texts, size = [], 0
@@ -313,12 +305,11 @@ def segmentations(docs: DataFrame, model_file: str, *, n: int = 3, id_col: str =
         raise ValueError("n is at least 1")
     with open(model_file, "rb") as f:
         content = f.read()
-    key = hashlib.sha256(content).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(content)
+    shared = docs.sparkSession.sparkContext.broadcast(Held(content))
     keyed = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(shared, key)
+        lattice = shared.value.get(Lattice)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for text, found, scores in _encoded(lattice, batch.column("t"), n):
