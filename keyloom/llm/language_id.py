@@ -30,10 +30,17 @@ FAMILIES = {
 BINS = 1 << 12
 #: Labelled rows per language, on average, that the models are fitted on.
 SAMPLE_PER_LANGUAGE = 500
+#: Rows that the models are fitted on, on average, however many languages there are.
+MOST_ROWS = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L); number signs such as one half are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def family_of(language: str) -> str:
     code = language.lower().replace("_", "-").split("-")[0]
     return next((f for f, codes in FAMILIES.items() if code in codes), f"own:{language}")
@@ -67,7 +74,7 @@ class Model:
     pairs: dict[str, list[tuple[int, int, np.ndarray]]] = field(default_factory=dict)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text) or not self.families:
+        if not text or not has_letter(text) or not self.families:
             return "und", 0.0
         x = np.append(features(text), 1.0)
         z = x @ self.family_w
@@ -108,17 +115,17 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 150, penalty: float = 1e-4) -
     model = Model(families, {f: [v for v in languages if family_of(v) == f] for f in families})
     if not languages:
         return model
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    x = np.hstack([np.asarray(x, np.float32), np.ones((len(x), 1), np.float32)])
     # rows have length sqrt(2); classes count alike
     own = np.array([families.index(family_of(v)) for v in y])
     target = np.eye(len(families))[own]
     share = 1.0 / (len(families) * np.bincount(own, minlength=len(families))[own])
 
     def softmax(w: np.ndarray) -> np.ndarray:
-        z = x @ w
+        z = x @ w.astype(np.float32)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        return x.T @ ((p - target) * share[:, None]) + penalty * w
+        return x.T @ ((p - target) * share[:, None]).astype(np.float32) + penalty * w
 
     model.family_w = _descend(softmax, np.zeros((BINS + 1, len(families))), 1.0, rounds)
     lang = np.array([languages.index(v) for v in y])
@@ -133,8 +140,8 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 150, penalty: float = 1e-4) -
                 each = np.where(sign > 0, 0.5 / a.sum(), 0.5 / b.sum())
 
                 def hinge(w: np.ndarray, rows=rows, sign=sign, each=each) -> np.ndarray:
-                    short = np.maximum(0.0, 1.0 - sign * (rows @ w))
-                    return rows.T @ (-2.0 * short * sign * each) + penalty * w
+                    short = np.maximum(0.0, 1.0 - sign * (rows @ w.astype(np.float32)))
+                    return rows.T @ (-2.0 * short * sign * each).astype(np.float32) + penalty * w
 
                 model.pairs[f].append((i, j, _descend(hinge, np.zeros(BINS + 1), 0.25, rounds)))
     return model
@@ -148,13 +155,15 @@ def held_out(id_column: Column) -> Column:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of the labelled rows that aren't held out.
 
-    Of each language about ``per_language`` rows are taken, chosen by a hash of identifier and text's
-    length; their features (not their texts) reach the driver.
+    Of each language about ``per_language`` rows are taken, fewer if there are so many languages that
+    ``MOST_ROWS`` would be passed, chosen by a hash of identifier and text's length; their features (not
+    their texts) reach the driver, 16 kB a row.
     """
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
     if not counts:
         return fit(np.zeros((0, BINS)), [])
+    per_language = min(per_language, MOST_ROWS / len(counts))
     limit = F.lit(None)
     for language, n in counts.items():
         limit = F.when(F.col(label_col) == language, F.lit(min(1.0, per_language / n))).otherwise(limit)
@@ -163,13 +172,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()).astype(np.float32).tobytes() if _LETTER.search(t.as_py()) else None for t in batch.column("t")]
+            rows = [features(t.as_py()).astype(np.float32).tobytes() if has_letter(t.as_py()) else None for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.binary())], names=["y", "x"])
 
     got = [r for r in sample.mapInArrow(run, "y string, x binary").collect() if r[1]]
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(len(got), BINS) if got else np.zeros((0, BINS))
-    return fit(x.astype(np.float64), [r[0] for r in got])
+    return fit(x, [r[0] for r in got])
 
 
 def _predict(model):

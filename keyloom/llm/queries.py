@@ -39,7 +39,7 @@ def op5_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_rates(documents(spark, sf_dir), labels(spark, sf_dir), TARGETS)
+    return mixing.mixing_rates(documents(spark, sf_dir), labels(spark, sf_dir), TARGETS, tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

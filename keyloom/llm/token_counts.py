@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import exists, fresh_path, text_or_empty
+from .common import Held, exists, fresh_path, text_or_empty, written
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -29,9 +29,6 @@ CACHE_SCHEMA = T.StructType(
 #: Words whose counts one Python worker remembers.
 WORDS_KEPT = 600_000
 
-_workers: dict[str, _Counter] = {}
-
-
 class _Counter:
     """Counts of whole texts, equal to the library's, from counts of words.
 
@@ -41,7 +38,8 @@ class _Counter:
     whole, and so does a text that holds a special token's string.
     """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, kept: int = WORDS_KEPT) -> None:
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,6 +48,7 @@ class _Counter:
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
+        self.once: set[str] = set()
         self.newline = self._whole("\n")
         self.splits = self._cuts_are_safe()
         self.ranks = self._merge_ranks(spec) if self.splits else None
@@ -79,15 +78,22 @@ class _Counter:
     def _counts(self, words: list[str]) -> list[int]:
         if self.ranks is None:
             return [len(e.ids) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
-        encode, piece = self.ranks.encode_ordinary, self.ranks._encode_single_piece
-        return [
-            (len(piece(w)) if w.strip(" ").isalpha() else len(encode(w))) if _LATIN.fullmatch(w) else self._whole(w)
-            for w in words
-        ]
+        encode, piece, out = self.ranks.encode_ordinary, self.ranks._encode_single_piece, []
+        for w in words:
+            core = w[1:] if w[:1] == " " else w
+            if core.isascii() and core.isalpha():
+                out.append(len(piece(w)))
+            elif core[-1:] in _STOPS and core[:-1].isascii() and core[:-1].isalpha():
+                out.append(len(piece(w[:-1])) + 1)  # a mark alone is a piece of one byte
+            elif _LATIN.fullmatch(w):
+                out.append(len(piece(w)) if core.isalpha() else len(encode(w)))
+            else:
+                out.append(self._whole(w))
+        return out
 
     def _learn(self, known: dict[str, int], words: list[str], before: str) -> None:
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > WORDS_KEPT:
+        new = list(set(words).difference(known))
+        if len(known) + len(new) > self.kept:
             known.clear()
             new = list(set(words))
         for i in range(0, len(new), 4096):
@@ -106,19 +112,49 @@ class _Counter:
             words = line.split(" ")
             heads.append(words[0])
             tails += words[1:]
-        for known, words, before in ((self.first, heads, ""), (self.later, tails, " ")):
-            try:
-                total += sum(map(known.__getitem__, words))
-            except KeyError:
-                self._learn(known, words, before)
-                total += sum(map(known.__getitem__, words))
+        counts = list(map(self.later.get, tails))
+        if None in counts:
+            total += sum(filter(None, counts)) + self._unknown([w for w, n in zip(tails, counts, strict=True) if n is None])
+        else:
+            total += sum(counts)
+        try:
+            return total + sum(map(self.first.__getitem__, heads))
+        except KeyError:
+            self._learn(self.first, heads, "")
+            return total + sum(map(self.first.__getitem__, heads))
+
+    def _unknown(self, words: list[str]) -> int:
+        """Tokens of words that follow a space. Those seen for the first time are counted together, and remembered only when they come again."""
+        seen = self.once
+        again = [w for w in words if w in seen]
+        new = [w for w in words if w not in seen] if len(again) < len(words) else []
+        total = 0
+        if new:
+            line = " " + " ".join(new)
+            if self.ranks is not None and _LATIN.fullmatch(line):
+                total = len(self.ranks.encode_ordinary(line))
+            else:
+                again += new
+            if len(seen) > self.kept:
+                seen.clear()
+            seen.update(new)
+        if again:
+            self._learn(self.later, again, " ")
+            total += sum(map(self.later.__getitem__, again))
+            seen.difference_update(again)
         return total
 
 
+def counter(spec, kept: int = WORDS_KEPT) -> _Counter:
+    """This worker's counter for a broadcast tokenizer."""
+    return spec.value.get(lambda content: _Counter(content, kept))
+
+
 #: How the byte-level pre-tokenizer splits a text (fixed value).
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that all versions of Unicode class alike; words with others go to the library.
 _LATIN = re.compile("[\x01-\u024f]*")
+_STOPS = frozenset(",.;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -136,11 +172,9 @@ def _encode(spec, version: str):
     schema = pa.schema([("tokenizer", pa.string()), ("digest", pa.binary()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _workers.get(version)
-        if counter is None:
-            counter = _workers[version] = _Counter(spec.value)
+        known = counter(spec)
         for batch in batches:
-            counts = [counter.count(t.as_py()) for t in batch.column("_t")]
+            counts = [known.count(t.as_py()) for t in batch.column("_t")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(counts), pa.string()), batch.column("_d"), pa.array(counts, pa.int64())],
                 schema=schema,
@@ -175,12 +209,14 @@ def token_counts(
     ``cache_path`` names the stored cache, made if missing and appended to; without one, a new cache
     serves this call. The tokenizer's file is sent to the executors (its size is the vocabulary's).
     The text is shuffled once, by digest, after the copies within each task are merged; the widely
-    shared texts therefore cost one row per task.
+    shared texts therefore cost one row per task. Counts are joined from a stored table, so adaptive
+    execution can split the rows of a digest that very many share.
     """
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         content = f.read()
     version = hashlib.sha256(content.encode()).hexdigest()
+    own = cache_path is None
     cache_path = cache_path or fresh_path(spark, "token-cache")
     text = text_or_empty(text_col)
     keyed = docs.select(
@@ -188,9 +224,10 @@ def token_counts(
     )
     known = read_cache(spark, cache_path, version)
     misses = keyed.groupBy("_d").agg(F.first("_t").alias("_t")).join(known, F.col("_d") == F.col("digest"), "left_anti")
-    spec = spark.sparkContext.broadcast(content)
+    spec = spark.sparkContext.broadcast(Held(content))
     misses.mapInArrow(_encode(spec, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
+    # stored counts without a sum above them: Spark can split a digest that very many rows share
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).select("digest", "n_tokens") if own else written(read_cache(spark, cache_path, version), "counts")[0]
     return keyed.select("_id", "_n", "_d").join(counts, F.col("_d") == F.col("digest")).select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_bytes"),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import remove, text_or_empty, written
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: Marks of quotation and reporting words (fixed values).
@@ -25,13 +25,16 @@ REPORTING = frozenset("said says say called calls wrote writes quote quoted quot
 WINDOW = 5
 #: Labelled rows of each class, on average, that lexicon and weights are fitted on.
 SAMPLE_PER_CLASS = 4000
-MOST_TERMS = 400
 STEM_LENGTHS = (5, 6, 7, 8)
+#: A term's log odds, in standard errors, at least.
+CLEAR = 4.0
 #: States that one automaton keeps before it starts anew.
 _MOST_STATES = 50_000
 #: Words whose first letters lead an automaton nowhere are not looked up; so many letters, and so many beginnings are kept.
 HEAD = 4
 _MOST_HEADS = 200_000
+#: Words without a match that a worker remembers, and letters of one at most.
+_MOST_NONE, _LONG = 150_000, 40
 
 
 def errors_allowed(term: str) -> int:
@@ -161,6 +164,7 @@ class Model:
     def _ready(self) -> None:
         self.automaton = Automaton(self.terms)
         self.heads: dict[str, bool] = {}
+        self.none: set[str] = set()
 
     def _best(self, matches: list[tuple[int, int]]) -> tuple[float, int]:
         strength, e = max((self.strength[k] / (1 + e), -e) for k, e in matches)
@@ -173,15 +177,19 @@ class Model:
         words.update(WORD.findall("\n".join(odd)))
         if len(self.heads) > _MOST_HEADS:
             self.heads.clear()
-        heads, match = self.heads, self.automaton.match
-        known = heads.get
+        if len(self.none) > _MOST_NONE:
+            self.none.clear()
+        heads, none, match = self.heads, self.none, self.automaton.match
         found = {}
-        for w in [w for w in words if known(w[:HEAD], True)]:
+        for w in words.difference(none):
             head = w[:HEAD]
-            if head not in heads:
-                heads[head] = self.automaton.alive(head)
-            if heads[head] and (matches := match(w)):
+            alive = heads.get(head)
+            if alive is None:
+                alive = heads[head] = self.automaton.alive(head)
+            if alive and (matches := match(w)):
                 found[w] = self._best(matches)
+            elif len(w) <= _LONG:
+                none.add(w)
         return found, odd
 
     def features(self, text: str) -> np.ndarray:
@@ -270,12 +278,13 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 800) -> tuple[np.ndarray, n
     return w, centre, spread
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, most_terms: int = MOST_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, clear_from: float = CLEAR) -> Model:
     """Learn the lexicon and the weights from a bounded sample of labelled rows that aren't held out.
 
     About ``per_class`` labels of each class are drawn by a hash of the identifier; that table, bounded
     by the parameter, is broadcast to find their texts. Terms are words, and stems written ``stem*``,
-    that are much more frequent in labelled texts than in others; the ``most_terms`` clearest are kept.
+    that are much more frequent in labelled texts than in others, by ``clear_from`` standard errors; all that
+    pass are kept. The sample is stored, so documents are read once.
     """
     usable = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("long").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i")))
     sizes = {r[0]: r[1] for r in usable.groupBy("y").count().collect()}
@@ -284,10 +293,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     draw = F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
     chosen = usable.where(draw < rate).groupBy("i").agg(F.max("y").alias("y"))
-    sample = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t")
+    sample, sample_at = written(docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t"), "sample")
     got = sample.groupBy("y").count().collect()
     n1, n0 = (next((r[1] for r in got if r[0] == k), 0) for k in (1, 0))
     if not n1 or not n0:
+        remove(docs.sparkSession, sample_at)
         return Model([], np.zeros(0))
     counts = sample.mapInArrow(_terms, "term string, y long").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     rate1, rate0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("b") + 0.5) / (n0 + 1.0)
@@ -296,10 +306,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     top = (
         counts.where((F.col("a") >= 4) & (odds > 1.3))
         .select("term", odds.alias("o"), clear.alias("z"))
-        .where("z > 4")
+        .where(F.col("z") > clear_from)
         .orderBy(F.desc("z"), "term")
-        .limit(most_terms)
-        .collect()
+        .collect()  # bounded by the sample: each term is in four of its texts at least
     )
     model = Model([r[0] for r in top], np.array([r[1] for r in top]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -310,6 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = sorted((r[0], tuple(r[1])) for r in sample.mapInArrow(run, "y long, x array<double>").collect())
+    remove(docs.sparkSession, sample_at)
     model.weights, model.centre, model.spread = _fit(np.array([r[1] for r in rows]), np.array([float(r[0]) for r in rows]))
     return model
 
