@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import token_counts, toxicity
-from .common import Held, text_or_empty, written
+from .common import Held, remove, text_or_empty, written
 
 #: Labelled rows of each domain, on average, that the classifier is fitted on.
 SAMPLE_PER_DOMAIN = 700
@@ -103,25 +103,32 @@ def fit_classifier(x: np.ndarray, y: list[str], terms: toxicity.Model, rounds: i
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_domain: int = SAMPLE_PER_DOMAIN) -> Classifier:
     """Fit on a bounded sample of labelled rows; only their features reach the driver.
 
-    At most about ``per_domain`` times the number of domains are drawn by a hash of the identifier; the
-    table of drawn labels, bounded by that, is broadcast to find the texts.
+    At most about ``per_domain`` times the number of domains are drawn by a hash of the identifier, and
+    the rows that the lexicon is learned from beside them; the table of drawn labels, bounded by both, is
+    broadcast to find the texts in one pass over the documents.
     """
-    table = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col(id_col).alias("i"), domain_name(F.col("quality"), F.col("toxic")).alias("y"))
-    table = table.where(F.col("i").isNotNull()).groupBy("i").agg(F.min("y").alias("y"))
-    sizes = {r[0]: r[1] for r in table.groupBy("y").count().collect()}
+    spark = docs.sparkSession
+    table = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col(id_col).alias("i"), domain_name(F.col("quality"), F.col("toxic")).alias("d"))
+    table = table.where(F.col("i").isNotNull()).groupBy("i").agg(F.min("d").alias("d"))
+    sizes = {r[0]: r[1] for r in table.groupBy("d").count().collect()}
     total = sum(sizes.values())
-    terms = toxicity.train(docs, labels, id_col=id_col, text_col=text_col, clear_from=TERMS_CLEAR)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
     draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
     chosen = table.where(draw < min(1.0, per_domain * max(len(sizes), 1) / max(total, 1)))
-    sample = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t")
+    of_terms = toxicity.drawn_labels(labels, id_col=id_col)
+    both = chosen.withColumn("y", F.lit(None).cast("long")) if of_terms is None else chosen.join(of_terms, "i", "full")
+    texts = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"))
+    sample, sample_at = written(texts.join(F.broadcast(both), "i").select("d", "y", "t"), "sample")
+    terms = toxicity.lexicon(sample.where("y IS NOT NULL").select("y", "t"), TERMS_CLEAR)
+    shared = spark.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_inputs(t.as_py(), shared.value)[0].tobytes() for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(rows, pa.binary())], names=["d", "x"])
 
-    got = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(run, "y string, x binary").collect())
+    rows = sample.where("d IS NOT NULL").select("d", "t").mapInArrow(run, "d string, x binary").collect()
+    remove(spark, sample_at)
+    got = sorted((r[0], bytes(r[1])) for r in rows)
     x = np.frombuffer(b"".join(r[1] for r in got), np.float64).reshape(len(got), len(_inputs("", terms)[0]))
     return fit_classifier(x, [r[0] for r in got], terms)
 

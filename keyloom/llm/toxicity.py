@@ -30,11 +30,13 @@ STEM_LENGTHS = (5, 6, 7, 8)
 CLEAR = 4.0
 #: States that one automaton keeps before it starts anew.
 _MOST_STATES = 50_000
-#: Words whose first letters lead an automaton nowhere are not looked up; so many letters, and so many beginnings are kept.
-HEAD = 4
+#: The state that a word's first letters lead to is remembered: so many letters, and so many beginnings.
+HEAD = 6
 _MOST_HEADS = 200_000
-#: Words without a match that a worker remembers, and letters of one at most.
-_MOST_NONE, _LONG = 150_000, 40
+#: Pieces without and with a match that a worker remembers, and letters of one at most.
+_MOST_NONE, _MOST_HITS, _LONG = 150_000, 50_000, 40
+#: Terms that a task sums in memory before it hands them on.
+_MOST_SUMMED = 400_000
 
 
 def errors_allowed(term: str) -> int:
@@ -116,31 +118,22 @@ class Automaton:
         stems = {k for node, e in new.items() if e == 0 for k in self.stems[node]}
         return self._state(self._closed(new), tuple(sorted({*hit, *stems})) if stems else hit)
 
-    def match(self, word: str) -> list[tuple[int, int]]:
-        """Terms within their mistakes of the word, and the mistakes."""
-        if len(self.rows) > _MOST_STATES:
-            self._fresh()
-        state, dead, steps = self.start, self.dead, self.steps
-        for c in word:
+    def after(self, letters: str, state: int | None = None) -> int:
+        """The state that letters lead to, from the start or another state; ``dead`` if no term goes on so."""
+        state = self.start if state is None else state
+        dead, steps = self.dead, self.steps
+        for c in letters:
             after = steps[state].get(c)
             if after is None:
                 after = steps[state][c] = self._step(state, c)
             if after == dead:
-                return []
+                return dead
             state = after
-        return self.found[state]
+        return state
 
-    def alive(self, head: str) -> bool:
-        """Whether any word that begins so may match a term."""
-        state = self.start
-        for c in head:
-            after = self.steps[state].get(c)
-            if after is None:
-                after = self.steps[state][c] = self._step(state, c)
-            if after == self.dead:
-                return False
-            state = after
-        return True
+    def match(self, word: str) -> list[tuple[int, int]]:
+        """Terms within their mistakes of the word, and the mistakes."""
+        return self.found[self.after(word)]
 
 
 @dataclass
@@ -163,34 +156,53 @@ class Model:
 
     def _ready(self) -> None:
         self.automaton = Automaton(self.terms)
-        self.heads: dict[str, bool] = {}
+        self.heads: dict[str, int] = {}
         self.none: set[str] = set()
+        self.hits: dict[str, list[tuple[str, float, int]]] = {}
 
     def _best(self, matches: list[tuple[int, int]]) -> tuple[float, int]:
         strength, e = max((self.strength[k] / (1 + e), -e) for k, e in matches)
         return float(strength), -e
 
-    def _matches(self, pieces: set[str]) -> tuple[dict[str, tuple[float, int]], set[str]]:
-        """The words in pieces of a text that a term matches, with the term's strength and the mistakes; also the pieces that aren't one word."""
-        words = set(filter(str.isalnum, pieces))
-        odd = pieces.difference(words)
-        words.update(WORD.findall("\n".join(odd)))
+    def _matched(self, word: str) -> tuple[float, int] | None:
+        """The strength of the best term that matches the word, and the mistakes."""
+        machine, head = self.automaton, word[:HEAD]
+        state = self.heads.get(head)
+        if state is None:
+            if len(machine.rows) > _MOST_STATES:
+                machine._fresh()
+                self.heads.clear()
+            state = self.heads[head] = machine.after(head)
+        if state == machine.dead:
+            return None
+        matches = machine.found[machine.after(word[HEAD:], state)]
+        return self._best(matches) if matches else None
+
+    def _matches(self, pieces: set[str]) -> dict[str, list[tuple[str, float, int]]]:
+        """For the pieces of a text that hold words which a term matches, these words with the term's strength and the mistakes.
+
+        No word reaches across white space, so a piece has the same matches in every text and is remembered.
+        """
         if len(self.heads) > _MOST_HEADS:
             self.heads.clear()
         if len(self.none) > _MOST_NONE:
             self.none.clear()
-        heads, none, match = self.heads, self.none, self.automaton.match
+        if len(self.hits) > _MOST_HITS:
+            self.hits.clear()
+        none, hits = self.none, self.hits
         found = {}
-        for w in words.difference(none):
-            head = w[:HEAD]
-            alive = heads.get(head)
-            if alive is None:
-                alive = heads[head] = self.automaton.alive(head)
-            if alive and (matches := match(w)):
-                found[w] = self._best(matches)
-            elif len(w) <= _LONG:
-                none.add(w)
-        return found, odd
+        for p in pieces.difference(none):
+            known = hits.get(p)
+            if known is None:
+                known = [(w, *best) for w in ([p] if p.isalnum() else WORD.findall(p)) if (best := self._matched(w))]
+                if len(p) <= _LONG:
+                    if known:
+                        hits[p] = known
+                    else:
+                        none.add(p)
+            if known:
+                found[p] = known
+        return found
 
     def features(self, text: str) -> np.ndarray:
         """What the terms in a text add up to: exact, misspelled and quoted matches apart."""
@@ -200,22 +212,17 @@ class Model:
 
     def features_of(self, low: str, pieces: list[str], distinct: set[str]) -> np.ndarray:
         """The same for a text in lower case that the caller has split at white space."""
-        found, odd = self._matches(distinct)
+        found = self._matches(distinct)
         exact = fuzzy = quoted = top = 0.0
-        hits: list[int] = []
+        hits: list[tuple[str, float, int]] = []
         if found:
+            hits = [hit for p in pieces if p in found for hit in found[p]]
+            marks = [False] * len(hits)
             if any(q in low for q in QUOTES):
                 words = WORD.findall(low)
-                hits = [i for i, w in enumerate(words) if w in found]
-                marks = quotation(low, words, hits)
-            else:
-                with_hit = {p: [p] for p in found if p in distinct}
-                with_hit |= {p: f for p in odd if (f := [w for w in WORD.findall(p) if w in found])}
-                words = [w for p in pieces if p in with_hit for w in with_hit[p]]
-                hits = list(range(len(words)))
-                marks = [False] * len(words)
-            for i, q in zip(hits, marks, strict=True):
-                strength, e = found[words[i]]
+                matched = {w for w, _, _ in hits}
+                marks = quotation(low, words, [i for i, w in enumerate(words) if w in matched])
+            for (_, strength, e), q in zip(hits, marks, strict=True):
                 if q:
                     quoted += strength
                 elif e:
@@ -254,13 +261,26 @@ def held_out(id_column: Column) -> Column:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word and stem of a text once, with the text's class."""
+    """In how many texts of each class words and stems are, summed within the task."""
+    sums: dict[str, list[int]] = {}
+
+    def rows() -> pa.RecordBatch:
+        found = [pa.array([v[k] for v in sums.values()], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), found[1], found[0]], names=["term", "a", "b"])
+
     for batch in batches:
         for y, t in zip(batch.column("y").to_pylist(), batch.column("t"), strict=True):
             words = {w for w in WORD.findall(t.as_py().lower()) if len(w) > 2}
-            stems = {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if len(w) > n}
-            found = sorted(words | stems)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int64())], names=["term", "y"])
+            words |= {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if len(w) > n}
+            for w in words:
+                have = sums.get(w)
+                if have is None:
+                    have = sums[w] = [0, 0]
+                have[y] += 1
+            if len(sums) > _MOST_SUMMED:
+                yield rows()
+                sums.clear()
+    yield rows()
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 800) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,28 +298,28 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 800) -> tuple[np.ndarray, n
     return w, centre, spread
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, clear_from: float = CLEAR) -> Model:
-    """Learn the lexicon and the weights from a bounded sample of labelled rows that aren't held out.
-
-    About ``per_class`` labels of each class are drawn by a hash of the identifier; that table, bounded
-    by the parameter, is broadcast to find their texts. Terms are words, and stems written ``stem*``,
-    that are much more frequent in labelled texts than in others, by ``clear_from`` standard errors; all that
-    pass are kept. The sample is stored, so documents are read once.
-    """
+def drawn_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> DataFrame | None:
+    """About ``per_class`` labels of each class that aren't held out, ``i, y``, drawn by a hash of the identifier; None without both classes."""
     usable = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("long").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i")))
     sizes = {r[0]: r[1] for r in usable.groupBy("y").count().collect()}
     if len(sizes) < 2:
-        return Model([], np.zeros(0))
+        return None
     draw = F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
-    chosen = usable.where(draw < rate).groupBy("i").agg(F.max("y").alias("y"))
-    sample, sample_at = written(docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t"), "sample")
+    return usable.where(draw < rate).groupBy("i").agg(F.max("y").alias("y"))
+
+
+def lexicon(sample: DataFrame, clear_from: float = CLEAR) -> Model:
+    """A model with terms alone from a stored sample ``y, t``, without any if a class is missing.
+
+    Terms are words, and stems written ``stem*``, that are much more frequent in labelled texts than in
+    others, by ``clear_from`` standard errors; all that pass are kept.
+    """
     got = sample.groupBy("y").count().collect()
     n1, n0 = (next((r[1] for r in got if r[0] == k), 0) for k in (1, 0))
     if not n1 or not n0:
-        remove(docs.sparkSession, sample_at)
         return Model([], np.zeros(0))
-    counts = sample.mapInArrow(_terms, "term string, y long").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    counts = sample.mapInArrow(_terms, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     rate1, rate0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("b") + 0.5) / (n0 + 1.0)
     odds = F.log(rate1 / rate0)
     clear = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
@@ -310,7 +330,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         .orderBy(F.desc("z"), "term")
         .collect()  # bounded by the sample: each term is in four of its texts at least
     )
-    model = Model([r[0] for r in top], np.array([r[1] for r in top]))
+    return Model([r[0] for r in top], np.array([r[1] for r in top]))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, clear_from: float = CLEAR) -> Model:
+    """Learn the lexicon and the weights from a bounded sample of labelled rows that aren't held out.
+
+    The table of drawn labels, bounded by ``per_class``, is broadcast to find their texts. The sample is
+    stored, so documents are read once.
+    """
+    chosen = drawn_labels(labels, id_col=id_col, label_col=label_col, per_class=per_class)
+    if chosen is None:
+        return Model([], np.zeros(0))
+    sample, sample_at = written(docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "i").select("y", "t"), "sample")
+    model = lexicon(sample, clear_from)
+    if sample.select("y").distinct().count() < 2:
+        remove(docs.sparkSession, sample_at)
+        return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
