@@ -160,12 +160,17 @@ def _posteriors(shared, spec):
         c = shared.value
         tokens = token_counts.counter(spec, WORDS_KEPT) if spec else None
         for batch in batches:
-            counts, flat = [], []
-            for t in batch.column("t"):
-                text = t.as_py()
-                p, n = c.posterior(text)
-                counts.append(tokens.count(text) if tokens else n)
-                flat.append(p)
+            flat, words = [], []
+
+            def texts() -> Iterator[str]:
+                for t in batch.column("t"):
+                    text = t.as_py()
+                    p, n = c.posterior(text)
+                    flat.append(p)
+                    words.append(n)
+                    yield text
+
+            counts = tokens.counts(texts()) if tokens else list(texts()) and words
             lists = pa.array([p.tolist() for p in flat], pa.list_(pa.float64()))
             others = [c for c in batch.schema.names if c != "t"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(counts, pa.int64()), lists], names=[*others, "n", "p"])

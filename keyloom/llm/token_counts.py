@@ -10,9 +10,11 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,11 @@ CACHE_SCHEMA = T.StructType(
 )
 #: Words whose counts one Python worker remembers.
 WORDS_KEPT = 600_000
+#: Words are looked up together for texts of so many letters, and one text more.
+_TOGETHER = 1 << 22
+#: Stands before a word that no space precedes; texts that hold it go to the library.
+_FIRST = "\x00"
+
 
 class _Counter:
     """Counts of whole texts, equal to the library's, from counts of words.
@@ -35,7 +42,8 @@ class _Counter:
     Byte-level BPE splits a text into pieces before merging, and no piece has white space after other
     characters. So a text may be cut before each white space that follows another character, and the
     counts of the parts add up. Where white space meets white space the line goes to the library
-    whole, and so does a text that holds a special token's string.
+    whole, and so does a text that holds a special token's string. The words of many texts are
+    encoded as a dictionary, so that each different one is looked up once.
     """
 
     def __init__(self, spec: str, kept: int = WORDS_KEPT) -> None:
@@ -46,9 +54,8 @@ class _Counter:
         self.lib = Tokenizer.from_str(spec)
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-        self.once: set[str] = set()
+        self.known = pa.array([], pa.large_string())
+        self.known_counts = np.zeros(0, np.int64)
         self.newline = self._whole("\n")
         self.splits = self._cuts_are_safe()
         self.ranks = self._merge_ranks(spec) if self.splits else None
@@ -73,76 +80,88 @@ class _Counter:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         if any(model["vocab"].get(a + b) != base + i for i, (a, b) in enumerate(pairs)) or len(ranks) != base + len(pairs):
             return None
+        self.lengths = np.zeros(len(ranks), np.int64)
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
         return tiktoken.Encoding("merges", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
-    def _counts(self, words: list[str]) -> list[int]:
-        if self.ranks is None:
-            return [len(e.ids) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
-        encode, piece, out = self.ranks.encode_ordinary, self.ranks._encode_single_piece, []
-        for w in words:
-            core = w[1:] if w[:1] == " " else w
-            if core.isascii() and core.isalpha():
-                out.append(len(piece(w)))
-            elif core[-1:] in _STOPS and core[:-1].isascii() and core[:-1].isalpha():
-                out.append(len(piece(w[:-1])) + 1)  # a mark alone is a piece of one byte
-            elif _LATIN.fullmatch(w):
-                out.append(len(piece(w)) if core.isalpha() else len(encode(w)))
+    def _counts(self, words: pa.Array) -> np.ndarray:
+        """Tokens of words as the texts have them: after a space, or marked as the first of a line."""
+        out = np.zeros(len(words), np.int64)
+        first = pc.starts_with(words, _FIRST).to_numpy(zero_copy_only=False)
+        for at, lead, between in ((np.flatnonzero(~first), " ", " "), (np.flatnonzero(first), "", "\n")):
+            own = words.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+            if not lead:
+                own = [w[1:] for w in own]
+            if self.ranks is None:
+                plain = np.zeros(len(own), bool)
+            elif _LATIN.fullmatch(between + between.join(own)):
+                out[at] = self._merged(own, between)
+                continue
             else:
-                out.append(self._whole(w))
+                plain = np.fromiter((_LATIN.fullmatch(w) is not None for w in own), bool, len(own))
+            out[at[plain]] = self._merged([own[i] for i in np.flatnonzero(plain)], between)
+            other = [lead + own[i] for i in np.flatnonzero(~plain)]
+            out[at[~plain]] = [len(e.ids) for e in self.lib.encode_batch_fast(other, add_special_tokens=False)]
         return out
 
-    def _learn(self, known: dict[str, int], words: list[str], before: str) -> None:
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, self._counts([before + w for w in part]), strict=True))
+    def _merged(self, words: list[str], between: str) -> np.ndarray:
+        """Tokens of words after a space or line end, from one line of all of them: a token is the word's where its bytes start."""
+        if not words:
+            return np.zeros(0, np.int64)
+        line = between + between.join(words)
+        ids = np.array(self.ranks.encode_ordinary(line), np.int64)
+        starts = np.cumsum(self.lengths[ids]) - self.lengths[ids]
+        cuts = np.flatnonzero(np.frombuffer(line.encode(), np.uint8) == ord(between))  # no word holds one
+        return np.diff(np.searchsorted(starts, cuts), append=len(ids)) - (self.newline if between == "\n" else 0)
 
     def count(self, text: str) -> int:
-        if not self.splits or (self.special and self.special.search(text)):
-            return self._whole(text)
-        if _SPACES.search(text) or text != text.strip():
-            return self._whole(text)
-        lines = text.split("\n")
-        total = (len(lines) - 1) * self.newline
-        heads, tails = [], []
-        for line in lines:
-            words = line.split(" ")
-            heads.append(words[0])
-            tails += words[1:]
-        counts = list(map(self.later.get, tails))
-        if None in counts:
-            total += sum(filter(None, counts)) + self._unknown([w for w, n in zip(tails, counts, strict=True) if n is None])
-        else:
-            total += sum(counts)
-        try:
-            return total + sum(map(self.first.__getitem__, heads))
-        except KeyError:
-            self._learn(self.first, heads, "")
-            return total + sum(map(self.first.__getitem__, heads))
-
-    def _unknown(self, words: list[str]) -> int:
-        """Tokens of words that follow a space. Those seen for the first time are counted together, and remembered only when they come again."""
-        seen = self.once
-        again = [w for w in words if w in seen]
-        new = [w for w in words if w not in seen] if len(again) < len(words) else []
-        total = 0
-        if new:
-            line = " " + " ".join(new)
-            if self.ranks is not None and _LATIN.fullmatch(line):
-                total = len(self.ranks.encode_ordinary(line))
-            else:
-                again += new
-            if len(seen) > self.kept:
-                seen.clear()
-            seen.update(new)
-        if again:
-            self._learn(self.later, again, " ")
-            total += sum(map(self.later.__getitem__, again))
-            seen.difference_update(again)
-        return total
+        return self.counts([text])[0]
+
+    def counts(self, texts: Iterable[str]) -> list[int]:
+        """Tokens of each text; no more texts are held at once than are looked up together."""
+        out: list[int] = []
+        held: list[tuple[int, str]] = []
+        size = 0
+        for text in texts:
+            out.append(0)
+            if not self.splits or _FIRST in text or (self.special and self.special.search(text)) or _SPACES.search(text) or text != text.strip():
+                out[-1] = self._whole(text)
+                continue
+            held.append((len(out) - 1, text))
+            size += len(text)
+            if size > _TOGETHER:
+                self._fill(out, held)
+                held, size = [], 0
+        if held:
+            self._fill(out, held)
+        return out
+
+    def _fill(self, out: list[int], held: list[tuple[int, str]]) -> None:
+        lines = pa.array([_FIRST + text.replace("\n", f" {_FIRST}") for _, text in held], pa.large_string())
+        pieces = pc.split_pattern(lines, " ")
+        codes = pieces.flatten().dictionary_encode()
+        where = codes.indices.to_numpy()
+        counts = self._look_up(codes.dictionary, where)
+        sums = np.add.reduceat(counts[where], pieces.offsets.to_numpy()[:-1])
+        for (i, text), n in zip(held, sums.tolist(), strict=True):
+            out[i] = n + text.count("\n") * self.newline
+
+    def _look_up(self, words: pa.Array, where: np.ndarray) -> np.ndarray:
+        """Tokens of different words. Those that come only once among the texts aren't remembered."""
+        place = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy()
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return self.known_counts[place]
+        counts = np.append(self.known_counts, 0)[place]
+        counts[new] = self._counts(words.take(pa.array(new)))
+        again = new[np.bincount(where, minlength=len(words))[new] > 1]
+        if len(self.known) + len(again) > self.kept:
+            self.known, self.known_counts = self.known[:0], self.known_counts[:0]
+        if len(again) <= self.kept:
+            self.known = pa.concat_arrays([self.known, words.take(pa.array(again))])
+            self.known_counts = np.append(self.known_counts, counts[again])
+        return counts
 
 
 def counter(spec, kept: int = WORDS_KEPT) -> _Counter:
@@ -154,7 +173,6 @@ def counter(spec, kept: int = WORDS_KEPT) -> _Counter:
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that all versions of Unicode class alike; words with others go to the library.
 _LATIN = re.compile("[\x01-\u024f]*")
-_STOPS = frozenset(",.;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -174,7 +192,7 @@ def _encode(spec, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(spec)
         for batch in batches:
-            counts = [known.count(t.as_py()) for t in batch.column("_t")]
+            counts = known.counts(t.as_py() for t in batch.column("_t"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(counts), pa.string()), batch.column("_d"), pa.array(counts, pa.int64())],
                 schema=schema,

@@ -34,7 +34,7 @@ _MOST_STATES = 50_000
 HEAD = 6
 _MOST_HEADS = 200_000
 #: Pieces without and with a match that a worker remembers, and letters of one at most.
-_MOST_NONE, _MOST_HITS, _LONG = 150_000, 50_000, 40
+_MOST_NONE, _MOST_HITS, _LONG = 400_000, 50_000, 40
 #: Terms that a task sums in memory before it hands them on.
 _MOST_SUMMED = 400_000
 
@@ -189,9 +189,13 @@ class Model:
             self.none.clear()
         if len(self.hits) > _MOST_HITS:
             self.hits.clear()
-        none, hits = self.none, self.hits
+        none, hits, heads, dead = self.none, self.hits, self.heads, self.automaton.dead
         found = {}
         for p in pieces.difference(none):
+            if heads.get(p[:HEAD]) == dead and p.isalnum():
+                if len(p) <= _LONG:
+                    none.add(p)
+                continue
             known = hits.get(p)
             if known is None:
                 known = [(w, *best) for w in ([p] if p.isalnum() else WORD.findall(p)) if (best := self._matched(w))]
