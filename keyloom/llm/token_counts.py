@@ -31,7 +31,7 @@ CACHE_SCHEMA = T.StructType(
 #: Words whose counts one Python worker remembers.
 WORDS_KEPT = 600_000
 #: Words are looked up together for texts of so many letters, and one text more.
-_TOGETHER = 1 << 22
+_TOGETHER = 1 << 20
 #: Stands before a word that no space precedes; texts that hold it go to the library.
 _FIRST = "\x00"
 
