@@ -55,6 +55,23 @@ def test_threshold_is_met_exactly():
     assert near_dedup.similar(a[:72], np.concatenate((a[:64], a[72:80])), 0.8) and not near_dedup.similar(a[:72], np.concatenate((a[:63], a[72:81])), 0.8)
 
 
+def test_fingerprint_is_the_majority():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 64):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        plain = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+        assert near_dedup.fingerprint(own) == plain
+
+
+def test_radius_reaches_the_similarity():
+    rng = np.random.default_rng(5)
+    for both, a, b in ((4, 1, 0), (4, 0, 1), (8, 1, 1), (40, 5, 5), (160, 40, 0)):
+        for _ in range(1500):
+            own = rng.integers(0, 1 << 64, both + a + b, np.uint64)
+            x, y = own[: both + a], np.concatenate((own[:both], own[both + a :]))
+            assert (near_dedup.fingerprint(x) ^ near_dedup.fingerprint(y)).bit_count() <= near_dedup.RADIUS
+
+
 def test_pipeline_stage_reaches_similarity(spark, sf_dir):
     docs = exact_dedup.kept_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
