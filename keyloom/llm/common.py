@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def give_back() -> None:
+    """Return to the machine what this process has freed and its allocators still hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 class Held:
     """What a Python worker makes of broadcast content, kept with it.
 
@@ -91,7 +103,9 @@ class Held:
 
     def get(self, make):
         if self._made is None:
+            give_back()
             self._made = make(self.content)
+            give_back()
         return self._made
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import token_counts, toxicity
-from .common import Held, remove, text_or_empty, written
+from .common import Held, give_back, remove, text_or_empty, written
 
 #: Labelled rows of each domain, on average, that the classifier is fitted on.
 SAMPLE_PER_DOMAIN = 700
@@ -174,6 +174,7 @@ def _posteriors(shared, spec):
             lists = pa.array([p.tolist() for p in flat], pa.list_(pa.float64()))
             others = [c for c in batch.schema.names if c != "t"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(counts, pa.int64()), lists], names=[*others, "n", "p"])
+        give_back()
 
     return run
 
