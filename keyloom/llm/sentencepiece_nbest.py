@@ -29,9 +29,9 @@ SPACE = "▁"
 UNIT = 1_000_000
 #: What an unknown letter scores below the least piece, as in SentencePiece (fixed value).
 UNKNOWN = 10.0
-_MOST_WORDS = 700_000
+_MOST_WORDS = 400_000
 #: Letters of the words that a worker remembers.
-_MOST_LETTERS = 24_000_000
+_MOST_LETTERS = 14_000_000
 _AT_ONCE = 2_000_000
 
 
