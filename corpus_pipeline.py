@@ -29,9 +29,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the least identifier.
 
-    Texts are near-duplicates if their shingles of five words have a similarity of 0.8 or more: BK-trees of
-    fingerprints find them at a wide radius, and the shingles decide. The three bits of ``op4_simhash`` are
-    that query's own, and far tighter.
+    Texts are near-duplicates if their shingles of five words have a similarity of 0.8 or more. SimHash
+    fingerprints are dealt to shards by blocks of their bits, BK-trees of the shards find near ones at a wide radius,
+    and the shingles of what components hold decide. The three bits of ``op4_simhash`` are that query's own, and far tighter.
     """
     return near_dedup.similar_documents(docs, words=5, similarity=0.8)
 

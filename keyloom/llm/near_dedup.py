@@ -1,14 +1,17 @@
-"""SimHash near-duplicates at a similarity of word shingles: BK-trees of a wide radius, and the sets compared.
+"""SimHash near-duplicates at a similarity of word shingles: op4's method with wider fingerprints, and the sets compared.
 
-At a similarity of 0.8 fingerprints of 64 bits differ by some ten bits, and no block of bits that is left
-equal is long enough to deal texts to shards. So the shards of this form of the operator are bands of least
-hashes; in each a BK-tree of fingerprints is searched, and the sets of shingles of what it finds are
+At a similarity of 0.8 fingerprints of 64 bits differ by some ten bits, and no block of 64 bits that is left
+equal is long enough to deal texts to shards. So fingerprints here are as wide as their blocks need: disjoint
+blocks of bits deal them to shards, each shard's BK-tree is searched, and the links make components, as in
+``simhash``. An exact check follows: within a component the sets of shingles of what a BK-tree finds are
 compared themselves, so that a link is never a guess.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,23 @@ from .simhash import BKTree, rows_of
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Bands, and least hashes in each that must agree. At similarity 0.8 a pair meets in no band with a
-#: probability of (1 - 0.8 ** 4) ** 24, or 3.2 in a million; above it less.
-BANDS, ROWS = 24, 4
-#: Bits that fingerprints may differ by in a shard's tree. Large sets of similarity 0.8 differ by 9.7 on average;
-#: sets of four and five shingles by 12, the most, and by more than this in 1.1 of a million.
-RADIUS = 28
+#: The most that a pair at the threshold may miss all shards, as a probability; it sets the number of blocks.
+#: Pairs that differ by fewer bits than there are blocks always meet.
+MISS = 3e-6
+#: Leading bits of a fingerprint that trees hold, and how many of them may differ. Large sets of similarity 0.8
+#: differ by 29.1 on average; sets of four and five shingles by 36, the most, and by more than this in 1.3 of a
+#: million. Unlike sets are this near in 1.1 of a million.
+BITS, RADIUS = 192, 63
+#: Unlike fingerprints that a shard holds on average; blocks are as short as that allows.
+IN_SHARD, LEAST_BLOCK = 64, 8
 #: Sets of a group that are compared in one task; larger groups are compared block by block, all pairs of blocks.
 MOST_IN_GROUP = 1024
+#: Set sizes whose worst pair is worked out; that of larger sets is no worse than that of the last third.
+_SIZES = 48
+#: Fingerprints whose shards are made at once, and parts of the shards for each partition.
+_AT_ONCE, _PARTS = 2048, 16
+_ROW = np.dtype([("k", "<u4"), ("f", f"V{BITS // 8}")])
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_ODD = np.random.default_rng(8).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_PLUS = np.random.default_rng(9).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -61,52 +70,202 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both / (few + many - both) >= similarity
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A key for each band: the hash of its least hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 1024):
-        least = np.minimum(least, _mixed(own[at : at + 1024, None] * _ODD + _PLUS).min(axis=0))
-    h = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + column)
-    return h.view(np.int64)
+@lru_cache
+def differing(similarity: float) -> tuple[float, ...]:
+    """For set sizes up to ``_SIZES``, and last for larger ones, how likely a fingerprint's bit differs from that of
+    the worst set that is similar enough."""
 
+    def ones(n: int) -> np.ndarray:
+        return np.array([math.comb(n, i) / 2**n for i in range(n + 1)])
 
-def fingerprint(own: np.ndarray) -> int:
-    """The majority, bit by bit, of the hashes of a set of shingles; ties give zero bits."""
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(own), 1 << 15):
-        total += np.unpackbits(own[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(own)).tobytes(), "big")
+    def over(n: int, sums: np.ndarray) -> np.ndarray:
+        return np.array([ones(n)[2 * np.arange(n + 1) - n + x > 0].sum() for x in sums])
 
+    worst = [0.0] * (_SIZES + 1)
+    for few in range(1, _SIZES + 1):
+        for many in range(few, math.floor(few / similarity + 1e-9) + 1):
+            both = math.ceil(similarity * (few + many) / (1 + similarity) - 1e-9)
+            sums = 2 * np.arange(both + 1) - both
+            x, y = over(few - both, sums), over(many - both, sums)
+            p = float(ones(both) @ (x * (1 - y) + y * (1 - x)))
+            for n in (few, many):
+                if n <= _SIZES:
+                    worst[n] = max(worst[n], p)
+    return *worst, max(*worst[2 * _SIZES // 3 :], math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def blocks_needed(differ: float, length: int) -> int:
+    """Blocks of ``length`` bits such that two fingerprints agree in none of them with a probability of ``MISS`` at most."""
+    agree = (1 - differ) ** length
+    return 1 if agree >= 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-agree))
+
+
+def _numbers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What makes words 1 to ``n`` of a shingle's hash from its word 0."""
+    return np.random.default_rng(8).integers(0, 1 << 64, n, np.uint64) | np.uint64(1), np.random.default_rng(9).integers(0, 1 << 64, n, np.uint64)
+
+
+def wide_fingerprint(own: np.ndarray, bits: int, numbers: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The majority, bit by bit, of the hashes of a set of shingles, as whole words of bits; ties give zero bits."""
+    more = -(-bits // 64) - 1
+    odd, plus = numbers or _numbers(more)
+    total = np.zeros(64 * (more + 1), np.int64)
+    for at in range(0, len(own), 255):  # as many as a byte counts
+        some = own[at : at + 255, None]
+        h = np.concatenate((some, _mixed(some * odd[:more] + plus[:more])), axis=1).astype(">u8")
+        total += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (total * 2 > len(own)).view(np.uint8)
+
+
+def fingerprint(own: np.ndarray, bits: int = 64) -> int:
+    """The leading bits of a set's fingerprint, as a number."""
+    return int.from_bytes(np.packbits(wide_fingerprint(own, bits)[:bits]).tobytes(), "big") >> (-bits % 8)
+
+
+def shards(prints: np.ndarray, length: int) -> np.ndarray:
+    """A row for each fingerprint, given as a row of bits, and in it the shard of each of its blocks."""
+    count = prints.shape[1] // length
+    values = prints[:, : count * length].reshape(len(prints), count, length) @ (np.uint64(1) << np.arange(length, dtype=np.uint64))
+    return (_mixed(values * np.uint64(0x9E3779B97F4A7C15) + np.arange(count, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _prints(words: int, length: int, differ: tuple[float, ...]):
+    widths = [max(BITS, blocks_needed(p, length) * length) for p in differ]
 
-def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _numbers(max(widths) // 64)
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column("t")]
             nodes = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
-            keys = [bands(s) for s in sets]
-            ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            found = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), found, lists], names=["id", "h", "node", "bands"])
+            found = []
+            for s in sets:
+                bits = widths[min(len(s), _SIZES + 1)]
+                found.append(np.packbits(wide_fingerprint(s, bits, numbers)[:bits]).tobytes())
+            own = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), own, pa.array(found, pa.binary())], names=["id", "h", "node", "fp"])
+
+    return run
+
+
+def _dealt(length: int, parts: int):
+    """Fingerprints -> for each part of the shards one packed row with the shard and the leading bits of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_width: dict[int, list[bytes]] = {}
+            for f in batch.column("fp").to_pylist():
+                by_width.setdefault(len(f), []).append(f)
+            for width, prints in by_width.items():
+                for at in range(0, len(prints), _AT_ONCE):
+                    raw = np.frombuffer(b"".join(prints[at : at + _AT_ONCE]), np.uint8).reshape(-1, width)
+                    k = shards(np.unpackbits(raw, axis=1), length)
+                    rows = np.empty(k.size, _ROW)
+                    rows["k"] = k.ravel()
+                    rows["f"] = np.repeat(np.ascontiguousarray(raw[:, : BITS // 8]).view(_ROW["f"]).ravel(), k.shape[1])
+                    part = rows["k"] % np.uint32(parts)
+                    order = np.argsort(part, kind="stable")
+                    rows, part = rows[order], part[order]
+                    starts = np.flatnonzero(np.diff(part, prepend=-1))
+                    packed = [x.tobytes() for x in np.split(rows, starts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "rows"])
+
+    return run
+
+
+def _id(value: int) -> int:
+    """The name of a fingerprint in the graph: its first 64 bits. Those that share them are taken for linked, and checked later."""
+    first = value >> (BITS - 64)
+    return first - (1 << 64) if first >> 63 else first
+
+
+def _near(values: list[int], radius: int, forest: Forest) -> list[tuple[int, int]]:
+    tree, out = BKTree(), []
+    names = [_id(v) for v in values]
+    for v, u in zip(values, names, strict=True):
+        out += [(u, names[i]) for i in tree.link(v, radius) if forest.add(u, names[i])]
+    return out
+
+
+def _searched(radius: int, most: int):
+    """Packed rows sorted by part -> a forest of the links in a task's shards; shards over ``most`` come out as they are, cut into blocks."""
+
+    def solve(packed: list[bytes], forest: Forest) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(packed), _ROW)
+        rows = rows[np.argsort(rows["k"], kind="stable")]
+        ends = np.flatnonzero(np.diff(rows["k"], append=np.int64(-1))) + 1
+        raw, width = np.ascontiguousarray(rows["f"]).tobytes(), BITS // 8
+        found: list[tuple] = []
+        at = 0
+        for end in ends.tolist():
+            if end - at > 1:
+                values = sorted({raw[i : i + width] for i in range(at * width, end * width, width)})
+                if len(values) > most:
+                    cuts = -(-len(values) * 2 // most)
+                    found += [(i % cuts, cuts, int(rows["k"][at]), f) for i, f in enumerate(values)]
+                else:
+                    found += [(u, v, None, None) for u, v in _near([int.from_bytes(f, "big") for f in values], radius, forest)]
+            at = end
+        kinds = {"u": pa.int64(), "v": pa.int64(), "k": pa.int64(), "f": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packed, forest = None, [], Forest()
+        for batch in batches:
+            for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows"), strict=True):
+                if part != now:
+                    yield solve(packed, forest)
+                    now, packed = part, []
+                packed.append(rows.as_py())
+        yield solve(packed, forest)
+
+    return run
+
+
+def _searched_blocks(radius: int):
+    """Fingerprints sorted by pair of blocks -> a forest of the links in a task's pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, values, forest = None, [], Forest()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for k, f in zip(batch.column("k").to_pylist(), batch.column("f").to_pylist(), strict=True):
+                if k != now:
+                    found += _near(values, radius, forest)
+                    now, values = k, []
+                values.append(int.from_bytes(f, "big"))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        found = _near(values, radius, forest)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     return run
 
 
+def _near_fingerprints(prints: DataFrame, length: int, radius: int, most: int) -> tuple[DataFrame, list[str]]:
+    """``node, component`` for the fingerprints that others are near, by their first 64 bits, and scratch paths to remove later."""
+    spark = prints.sparkSession
+    count = n_partitions(spark)
+    packed = prints.select("fp").distinct().mapInArrow(_dealt(length, count * _PARTS), "part int, rows binary")
+    searched = packed.repartition(count, "part").sortWithinPartitions("part").mapInArrow(_searched(radius, most), "u long, v long, k long, f binary")
+    met, met_at = written(searched, "met")
+    crowded = met.where("k IS NOT NULL").select("f", "k", F.col("u").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("v") - 1)).alias("o"))
+    crowded = crowded.select(F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o")).alias("k"), "f")
+    more = crowded.repartition(count, "k").sortWithinPartitions("k").mapInArrow(_searched_blocks(radius), "u long, v long")
+    found, scratch = connected_components(met.where("k IS NULL").select("u", "v").unionByName(more))
+    return found, [met_at, *scratch]
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column("t")]
-            found = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
             packed = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.int64()), packed], names=["node", "fp", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), packed], names=["node", "s"])
 
     return run
 
 
 def _links(similarity: float, radius: int):
-    """Sets sorted by shard -> a forest of the links in a task's shards, each searched by its BK-tree."""
+    """Sets sorted by group -> a forest of the links in a task's groups, each searched by its BK-tree."""
 
     def solve(rows: list[tuple[int, int, np.ndarray]], forest: Forest) -> list[tuple[int, int]]:
         tree, out = BKTree(), []
@@ -126,7 +285,7 @@ def _links(similarity: float, radius: int):
                 if k != now:
                     found += solve(rows, forest)
                     now, rows = k, []
-                rows.append((v, fp & 0xFFFFFFFFFFFFFFFF, np.frombuffer(s.as_py(), np.uint64)))
+                rows.append((v, int.from_bytes(fp, "big"), np.frombuffer(s.as_py(), np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
         found = solve(rows, forest)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
@@ -146,30 +305,32 @@ def similar_documents(
     wholly repeated rows one; a component whose identifiers are all null keeps one row too. All columns
     are unchanged.
 
-    Links are exact. A pair at the threshold of 0.8 meets in no band with a probability of 3.2 in a million, at
-    0.9 of under one in a billion; lower thresholds miss more, and
-    more again by the radius.
+    Links are exact. A pair at the threshold of 0.8 meets in no shard with a probability of 3 in a million at most,
+    at 0.9 of under one in a billion, and is over the radius in 1.3 of a million at worst. Blocks are as many as
+    ``similarity`` needs; ``radius`` serves 0.8 and more.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
     kind = dict(keyed.dtypes)["id"]
-    prints, prints_at = written(keyed.mapInArrow(_prints(words), f"id {kind}, h long, node long, bands array<long>"), "prints")
-    met = prints.select("node", F.explode("bands").alias("k")).distinct()
-    # groups with the same members are compared once
-    groups = met.groupBy("k").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("a"), F.max("node").alias("b"))
-    chosen = groups.where("c > 1").groupBy("c", "x", "a", "b").agg(F.min("k").alias("k")).select("k", "c")
-    members, members_at = written(met.join(chosen, "k").select("k", "node", "c"), "groups-met")
-    wanted = members.select("node").distinct()
-    texts = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
-    some = keyed.select("h", "t").join(texts, "h").dropDuplicates(["h"]).select("node", "t")
-    sets, sets_at = written(some.mapInArrow(_sets(words), "node long, fp long, s binary"), "sets")
+    length = max(LEAST_BLOCK, math.ceil(math.log2(max(docs.count(), 1) / IN_SHARD)))
+    prints, prints_at = written(keyed.mapInArrow(_prints(words, length, differing(similarity)), f"id {kind}, h long, node long, fp binary"), "prints")
+    near, near_at = _near_fingerprints(prints, length, radius, most)
+    # the exact check: sets of a component are compared
+    first = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
+    nodes = prints.groupBy("node").agg(F.min("h").alias("h"), F.first("fp").alias("fp")).withColumn("first", first)
+    nodes = nodes.join(near.withColumnRenamed("node", "n"), F.col("first") == F.col("n"), "left")
+    nodes, nodes_at = written(nodes.select("node", "h", F.substring("fp", 1, BITS // 8).alias("fp"), F.coalesce("component", "first").alias("k")), "nodes")
+    groups = nodes.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    members, members_at = written(nodes.join(groups, "k"), "groups-met")
+    some = keyed.select("h", "t").join(members.select("h", "node"), "h").dropDuplicates(["h"]).select("node", "t")
+    sets, sets_at = written(some.mapInArrow(_sets(words), "node long, s binary"), "sets")
     parts = F.ceil(F.col("c") / (most / 2)).cast("int")
     large = F.col("c") > most
     own = F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
     others = F.when(large, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    dealt = members.select("k", "node", F.when(large, own).otherwise(0).alias("p"), F.explode(others).alias("o"))
-    dealt = dealt.select(F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o")).alias("k"), "node").join(sets, "node")
+    dealt = members.select("k", "node", "fp", F.when(large, own).otherwise(0).alias("p"), F.explode(others).alias("o"))
+    dealt = dealt.select(F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o")).alias("k"), "node", "fp").join(sets, "node")
     edges = dealt.repartition(n_partitions(spark), "k").sortWithinPartitions("k", "node").mapInArrow(_links(similarity, radius), "u long, v long")
     found, scratch = connected_components(edges)
     label = F.coalesce("component", prints["node"]).alias("label")
@@ -181,5 +342,5 @@ def similar_documents(
         .select(F.col("b.id").alias("_i"), F.col("b.h").alias("_h"))
     )
     best, _ = written(best, "kept")
-    remove(spark, prints_at, members_at, sets_at, *scratch)
+    remove(spark, prints_at, nodes_at, members_at, sets_at, *near_at, *scratch)
     return rows_of(docs, best, id_col, text_col)
