@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 #: Pairs that differ by fewer bits than there are blocks always meet.
 MISS = 3e-6
 #: Leading bits of a fingerprint that trees hold, and how many of them may differ. Large sets of similarity 0.8
-#: differ by 29.1 on average; sets of four and five shingles by 36, the most, and by more than this in 1.3 of a
+#: differ by 29.1 on average; sets of four and five shingles by 36, the most, and by more than this in 1.1 of a
 #: million. Unlike sets are this near in 1.1 of a million.
 BITS, RADIUS = 192, 63
 #: Unlike fingerprints that a shard holds on average; blocks are as short as that allows.
@@ -306,7 +306,7 @@ def similar_documents(
     are unchanged.
 
     Links are exact. A pair at the threshold of 0.8 meets in no shard with a probability of 3 in a million at most,
-    at 0.9 of under one in a billion, and is over the radius in 1.3 of a million at worst. Blocks are as many as
+    at 0.9 of under one in a billion, and is over the radius in 1.1 of a million at worst. Blocks are as many as
     ``similarity`` needs; ``radius`` serves 0.8 and more.
     """
     spark = docs.sparkSession
