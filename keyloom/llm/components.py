@@ -12,6 +12,8 @@ from .common import n_partitions, remove, written
 
 #: More rounds than graphs of any feasible size take; reaching it is an error, never a partial result.
 MOST_ROUNDS = 60
+#: As many links as this, or fewer, are joined by one task, whose forest then holds 400,000 nodes at most.
+AT_ONCE = 200_000
 
 
 class Forest:
@@ -42,6 +44,9 @@ class Forest:
     def joined(self, u: int, v: int) -> bool:
         return self._find(u) == self._find(v)
 
+    def root(self, u: int) -> int:
+        return self._find(u)
+
     def stars(self) -> list[tuple[int, int]]:
         """Each node with its tree's least node; the forest is empty after it."""
         out = [(x, root) for x in list(self.parent) if (root := self._find(x)) != x]
@@ -90,12 +95,20 @@ def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+def _stars(links: DataFrame) -> DataFrame:
+    """``node, component`` of links that are all to a component's least node."""
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def connected_components(edges: DataFrame, *, at_once: int = AT_ONCE) -> tuple[DataFrame, list[str]]:
     """``node, component`` for each node in ``edges`` (longs ``u, v``), and scratch paths to remove later.
 
     ``component`` is the least node that can be reached. Pairs may repeat and be in any order; nodes
     are compared as numbers. Each round is written to the shared folder, which ends its lineage. A
-    node with very many neighbours is spread over tasks; nothing is gathered.
+    node with very many neighbours is spread over tasks; rounds go on until ``at_once`` links or fewer are left, if
+    that many are ever left, and one task joins those.
     """
     spark = edges.sparkSession
     own = edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
@@ -105,11 +118,12 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     for _ in range(MOST_ROUNDS):
         count = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == tuple(count) or not count[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            ), [path]
+            return _stars(now), [path]
         state = tuple(count)
-        after, next_path = written(_star(_star(now, True, count[0]), False, count[0]), "edges")
+        last = count[0] <= at_once
+        after, next_path = written(now.coalesce(1).mapInArrow(_contracted, "u long, v long") if last else _star(_star(now, True, count[0]), False, count[0]), "edges")
         remove(spark, path)
         now, path = after, next_path
+        if last:
+            return _stars(now), [path]
     raise RuntimeError("components did not settle")

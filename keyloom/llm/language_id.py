@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 
 #: Families of languages by code (fixed values); a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -178,7 +178,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     got = [r for r in sample.mapInArrow(run, "y string, x binary").collect() if r[1]]
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(len(got), BINS) if got else np.zeros((0, BINS))
-    return fit(x, [r[0] for r in got])
+    languages = [r[0] for r in got]
+    del got
+    model = fit(x, languages)
+    del x
+    give_back()
+    return model
 
 
 def _predict(model):

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, remove, text_or_empty, written
@@ -34,8 +34,12 @@ MISS = 3e-6
 BITS, RADIUS = 192, 63
 #: Unlike fingerprints that a shard holds on average; blocks are as short as that allows.
 IN_SHARD, LEAST_BLOCK = 64, 8
-#: Sets of a group that are compared in one task; larger groups are compared block by block, all pairs of blocks.
+#: Sets of a group that are compared in one task; larger groups are compared block by block.
 MOST_IN_GROUP = 1024
+#: Sets of a larger group, about, that every block of it is compared with first.
+LEADERS = 32
+#: Bits of the maps that rule out most of the unlike sets of a group before they are compared.
+MAP = 2048
 #: Set sizes whose worst pair is worked out; that of larger sets is no worse than that of the last third.
 _SIZES = 48
 #: Fingerprints whose shards are made at once, and parts of the shards for each partition.
@@ -70,6 +74,14 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both / (few + many - both) >= similarity
 
 
+def bitmap(s: np.ndarray) -> int:
+    """A bit for each place that a set's hashes fall on. Two sets have no more in common than their bitmaps have, and
+    as many as fall on places that others of the same set are on."""
+    bits = np.zeros(MAP, np.uint8)
+    bits[s % np.uint64(MAP)] = 1
+    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+
+
 @lru_cache
 def differing(similarity: float) -> tuple[float, ...]:
     """For set sizes up to ``_SIZES``, and last for larger ones, how likely a fingerprint's bit differs from that of
@@ -172,39 +184,82 @@ def _dealt(length: int, parts: int):
     return run
 
 
-def _id(value: int) -> int:
-    """The name of a fingerprint in the graph: its first 64 bits. Those that share them are taken for linked, and checked later."""
-    first = value >> (BITS - 64)
-    return first - (1 << 64) if first >> 63 else first
+def _names(prints: np.ndarray) -> list[int]:
+    """The names of fingerprints, rows of bytes, in the graph: their first 64 bits. Those that share them are taken for linked, and checked later."""
+    return np.ascontiguousarray(prints[:, :8]).view(">i8").ravel().tolist()
+
 
+def _near(prints: np.ndarray, radius: int, most: int | None = None) -> list[tuple[int, int]] | None:
+    """Links between the places of different fingerprints, rows of bytes, that join all that are within the radius;
+    none if there is more to compare than ``most`` allows.
 
-def _near(values: list[int], radius: int, forest: Forest) -> list[tuple[int, int]]:
-    tree, out = BKTree(), []
-    names = [_id(v) for v in values]
-    for v, u in zip(values, names, strict=True):
-        out += [(u, names[i]) for i in tree.link(v, radius) if forest.add(u, names[i])]
+    The BK-tree holds fingerprints of which no two are near. All others are linked to those that it finds, so
+    near copies cost no more than a look-up each. What is still apart is compared outright: the linked ones with all, or
+    all outside the largest component with all, as two that are near and in no tree together are among either.
+    """
+    tree, held, linked, out, forest = BKTree(), [], [], [], Forest()
+    raw, width = prints.tobytes(), prints.shape[1]
+    for i in range(len(prints)):
+        value = int.from_bytes(raw[i * width : (i + 1) * width], "big")
+        if found := tree.within(value, radius):
+            linked.append(i)
+            out += [(i, held[j]) for j in found if forest.add(i, held[j])]
+        elif most is not None and len(held) == most:
+            return None
+        else:
+            tree.add(value)
+            held.append(i)
+    if not linked:
+        return out
+    root = np.array([forest.root(i) for i in range(len(prints))])
+    rest = np.flatnonzero(root != np.bincount(root).argmax())
+    few = linked if len(linked) < len(rest) else rest.tolist()
+    if most is not None and len(few) * len(prints) > 64 * most * most:
+        return None
+    words = np.ascontiguousarray(prints).view(np.uint64)
+    for i in few:
+        near = np.bitwise_count(words ^ words[i]).sum(axis=1) <= radius
+        out += [(i, j) for j in np.flatnonzero(near & (root != root[i])).tolist() if forest.add(i, j)]
     return out
 
 
-def _searched(radius: int, most: int):
-    """Packed rows sorted by part -> a forest of the links in a task's shards; shards over ``most`` come out as they are, cut into blocks."""
+def met_before(u: np.ndarray, v: np.ndarray, k: np.ndarray, length: int) -> np.ndarray:
+    """Whether fingerprints, rows of bytes, that met in shard ``k`` are linked in another: that of the first of the leading bits' blocks in which they agree."""
+    count = BITS // length
+    apart = np.unpackbits(u ^ v, axis=1)[:, : count * length].reshape(len(u), count, length).any(axis=2)
+    first = apart.argmin(axis=1)
+    return ~apart.all(axis=1) & (shards(np.unpackbits(u, axis=1), length)[np.arange(len(u)), first] != k)
+
+
+def _searched(length: int, radius: int, most: int):
+    """Packed rows sorted by part -> a forest of the links in a task's shards; shards with more than ``most`` unlike fingerprints come out as they are, cut into blocks.
+
+    Two that agree in several blocks meet as often, and near copies do in most. Only the shard of the first such block
+    gives their link out, as far as the leading bits tell; the others use it and leave it to that one.
+    """
+    width = BITS // 8
 
     def solve(packed: list[bytes], forest: Forest) -> pa.RecordBatch:
         rows = np.frombuffer(b"".join(packed), _ROW)
         rows = rows[np.argsort(rows["k"], kind="stable")]
+        raw = np.ascontiguousarray(rows["f"]).view(np.uint8).reshape(-1, width)
         ends = np.flatnonzero(np.diff(rows["k"], append=np.int64(-1))) + 1
-        raw, width = np.ascontiguousarray(rows["f"]).tobytes(), BITS // 8
+        links: list[tuple[int, int]] = []
         found: list[tuple] = []
         at = 0
         for end in ends.tolist():
             if end - at > 1:
-                values = sorted({raw[i : i + width] for i in range(at * width, end * width, width)})
-                if len(values) > most:
-                    cuts = -(-len(values) * 2 // most)
-                    found += [(i % cuts, cuts, int(rows["k"][at]), f) for i, f in enumerate(values)]
+                own = _near(raw[at:end], radius, most)
+                if own is None:
+                    cuts = -(-(end - at) * 2 // most)
+                    found += [(i % cuts, cuts, int(rows["k"][at]), f.tobytes()) for i, f in enumerate(raw[at:end])]
                 else:
-                    found += [(u, v, None, None) for u, v in _near([int.from_bytes(f, "big") for f in values], radius, forest)]
+                    links += [(at + i, at + j) for i, j in own]
             at = end
+        if links:
+            u, v = np.array(links).T
+            new = ~met_before(raw[u], raw[v], rows["k"][u], length)
+            found += [(a, b, None, None) for a, b in zip(_names(raw[u[new]]), _names(raw[v[new]]), strict=True) if forest.add(a, b)]
         kinds = {"u": pa.int64(), "v": pa.int64(), "k": pa.int64(), "f": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
@@ -224,17 +279,22 @@ def _searched(radius: int, most: int):
 def _searched_blocks(radius: int):
     """Fingerprints sorted by pair of blocks -> a forest of the links in a task's pairs."""
 
+    def solve(values: list[bytes], forest: Forest) -> list[tuple[int, int]]:
+        raw = np.frombuffer(b"".join(values), np.uint8).reshape(-1, BITS // 8)
+        names = _names(raw)
+        return [(names[i], names[j]) for i, j in _near(raw, radius) or () if forest.add(names[i], names[j])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, values, forest = None, [], Forest()
         for batch in batches:
             found: list[tuple[int, int]] = []
             for k, f in zip(batch.column("k").to_pylist(), batch.column("f").to_pylist(), strict=True):
                 if k != now:
-                    found += _near(values, radius, forest)
+                    found += solve(values, forest)
                     now, values = k, []
-                values.append(int.from_bytes(f, "big"))
+                values.append(f)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
-        found = _near(values, radius, forest)
+        found = solve(values, forest)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     return run
@@ -245,47 +305,59 @@ def _near_fingerprints(prints: DataFrame, length: int, radius: int, most: int) -
     spark = prints.sparkSession
     count = n_partitions(spark)
     packed = prints.select("fp").distinct().mapInArrow(_dealt(length, count * _PARTS), "part int, rows binary")
-    searched = packed.repartition(count, "part").sortWithinPartitions("part").mapInArrow(_searched(radius, most), "u long, v long, k long, f binary")
+    searched = packed.repartition(count, "part").sortWithinPartitions("part").mapInArrow(_searched(length, radius, most), "u long, v long, k long, f binary")
     met, met_at = written(searched, "met")
-    crowded = met.where("k IS NOT NULL").select("f", "k", F.col("u").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("v") - 1)).alias("o"))
+    links, crowded = met.where("k IS NULL").select("u", "v"), met.where("k IS NOT NULL")
+    if crowded.isEmpty():
+        found, scratch = connected_components(links)
+        return found, [met_at, *scratch]
+    crowded = crowded.select("f", "k", F.col("u").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("v") - 1)).alias("o"))
     crowded = crowded.select(F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o")).alias("k"), "f")
     more = crowded.repartition(count, "k").sortWithinPartitions("k").mapInArrow(_searched_blocks(radius), "u long, v long")
-    found, scratch = connected_components(met.where("k IS NULL").select("u", "v").unionByName(more))
+    found, scratch = connected_components(links.unionByName(more))
     return found, [met_at, *scratch]
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("t")]
-            packed = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), packed], names=["node", "s"])
+            packed = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("t")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "node", "fp", "c")), packed], names=["k", "node", "fp", "c", "s"])
 
     return run
 
 
 def _links(similarity: float, radius: int):
-    """Sets sorted by group -> a forest of the links in a task's groups, each searched by its BK-tree."""
-
-    def solve(rows: list[tuple[int, int, np.ndarray]], forest: Forest) -> list[tuple[int, int]]:
-        tree, out = BKTree(), []
-        for v, fp, s in rows:
+    """Sets sorted by group -> a forest of the links in a task's groups, each searched by its BK-tree; those of one ``sub`` are linked already."""
+
+    def solve(rows: list[tuple[int, int, int, np.ndarray]], forest: Forest) -> list[tuple[int, int]]:
+        tree, out, maps = BKTree(), [], []
+        for v, sub, _, _ in rows:
+            forest.add(v, sub)
+        for v, _, fp, s in rows:
+            own, size = bitmap(s), len(s)
+            alone = size - own.bit_count()
             for i in sorted(tree.link(fp, radius)):
-                w, _, t = rows[i]
+                other, many, more = maps[i]
+                both = (own & other).bit_count() + min(alone, more)  # as many as they can have in common
+                if both / (size + many - both) < similarity:
+                    continue
+                w, _, _, t = rows[i]
                 if not forest.joined(v, w) and similar(s, t, similarity):
                     forest.add(v, w)
                     out.append((v, w))
+            maps.append((own, size, alone))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, forest = None, [], Forest()
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for k, v, fp, s in zip(*(batch.column(c).to_pylist() for c in ("k", "node", "fp")), batch.column("s"), strict=True):
+            for k, v, sub, fp, s in zip(*(batch.column(c).to_pylist() for c in ("k", "node", "sub", "fp")), batch.column("s"), strict=True):
                 if k != now:
                     found += solve(rows, forest)
                     now, rows = k, []
-                rows.append((v, int.from_bytes(fp, "big"), np.frombuffer(s.as_py(), np.uint64)))
+                rows.append((v, sub, int.from_bytes(fp, "big"), np.frombuffer(s.as_py(), np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
         found = solve(rows, forest)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
@@ -293,6 +365,52 @@ def _links(similarity: float, radius: int):
     return run
 
 
+def _block(seed: int, parts: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), parts).cast("int")
+
+
+def _parts(rows: str, most: int) -> Column:
+    return F.ceil(F.col(rows) / (most / 2)).cast("int")
+
+
+def _linked_sets(sets: DataFrame, similarity: float, radius: int, most: int) -> tuple[DataFrame, list[str]]:
+    """``node, component`` of the sets ``k, node, fp, c, s`` (``c`` of them are in group ``k``) that links reach, and scratch paths to remove later.
+
+    A group of over ``most`` is cut into blocks, and some of its sets are compared with every block. Then only what is not in a group's
+    largest component is compared with all blocks, as all that is left to be found links one of these.
+    """
+    spark = sets.sparkSession
+    count = n_partitions(spark)
+
+    def links(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition(count, "k").sortWithinPartitions("k", "node").mapInArrow(_links(similarity, radius), "u long, v long")
+
+    large, parts = F.col("c") > most, _parts("c", most)
+    lead = _block(2, F.ceil(F.col("c") / LEADERS).cast("int")) == 0
+    blocks = F.when(large, F.when(lead, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(_block(1, parts)))).otherwise(F.array(F.lit(0)))
+    dealt = sets.select("k", "node", F.col("node").alias("sub"), "fp", "s", F.explode(blocks).alias("p"))
+    found, scratch = connected_components(links(dealt.withColumn("k", F.xxhash64("k", "p")).drop("p")))
+    whole = sets.where(large).select("k", "node", "c")
+    if whole.isEmpty():
+        return found, scratch
+    subs = whole.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("k", "node", F.coalesce("component", "node").alias("sub"))
+    subs, subs_at = written(subs, "subs")
+    largest = subs.groupBy("k", "sub").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "sub")).alias("m"), F.sum("n").alias("all"))
+    largest, largest_at = written(largest.select("k", F.col("m.sub").alias("most_are"), (F.col("all") - F.col("m.n")).alias("r")).where("r > 0"), "largest")
+    scratch += [subs_at, largest_at]
+    if largest.isEmpty():
+        return found, scratch
+    # blocks of the rest come first, then those of the largest component; no two of the latter meet
+    apart = sets.join(largest, "k").join(subs.select("node", "sub"), "node")
+    ours, theirs = _parts("r", most), F.ceil((F.col("c") - F.col("r")) / (most / 2)).cast("int")
+    rest = F.col("sub") != F.col("most_are")
+    apart = apart.select("k", "node", "sub", "fp", "s", F.when(rest, _block(1, ours)).otherwise(ours + _block(1, theirs)).alias("p"), F.explode(F.sequence(F.lit(0), F.when(rest, ours + theirs - 1).otherwise(ours - 1))).alias("o"))
+    dealt = apart.withColumn("k", F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o"))).drop("p", "o")
+    stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    found, more = connected_components(links(dealt).unionByName(stars))
+    return found, [*scratch, *more]
+
+
 def similar_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, most: int = MOST_IN_GROUP
 ) -> DataFrame:
@@ -318,21 +436,15 @@ def similar_documents(
     near, near_at = _near_fingerprints(prints, length, radius, most)
     # the exact check: sets of a component are compared
     first = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
-    nodes = prints.groupBy("node").agg(F.min("h").alias("h"), F.first("fp").alias("fp")).withColumn("first", first)
+    heads = prints.select("node", "h", F.substring("fp", 1, BITS // 8).alias("fp"))
+    nodes = heads.groupBy("node").agg(F.min("h").alias("h"), F.first("fp").alias("fp")).withColumn("first", first)
     nodes = nodes.join(near.withColumnRenamed("node", "n"), F.col("first") == F.col("n"), "left")
-    nodes, nodes_at = written(nodes.select("node", "h", F.substring("fp", 1, BITS // 8).alias("fp"), F.coalesce("component", "first").alias("k")), "nodes")
-    groups = nodes.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    nodes, nodes_at = written(nodes.select("node", "h", "fp", F.coalesce("component", "first").alias("k")), "nodes")
+    groups, groups_at = written(nodes.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "groups")
     members, members_at = written(nodes.join(groups, "k"), "groups-met")
-    some = keyed.select("h", "t").join(members.select("h", "node"), "h").dropDuplicates(["h"]).select("node", "t")
-    sets, sets_at = written(some.mapInArrow(_sets(words), "node long, s binary"), "sets")
-    parts = F.ceil(F.col("c") / (most / 2)).cast("int")
-    large = F.col("c") > most
-    own = F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
-    others = F.when(large, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    dealt = members.select("k", "node", "fp", F.when(large, own).otherwise(0).alias("p"), F.explode(others).alias("o"))
-    dealt = dealt.select(F.xxhash64("k", F.least("p", "o"), F.greatest("p", "o")).alias("k"), "node", "fp").join(sets, "node")
-    edges = dealt.repartition(n_partitions(spark), "k").sortWithinPartitions("k", "node").mapInArrow(_links(similarity, radius), "u long, v long")
-    found, scratch = connected_components(edges)
+    some = keyed.select("h", "t").join(members, "h").dropDuplicates(["h"]).select("k", "node", "fp", "c", "t")
+    sets, sets_at = written(some.mapInArrow(_sets(words), "k long, node long, fp binary, c long, s binary"), "sets")
+    found, scratch = _linked_sets(sets, similarity, radius, most)
     label = F.coalesce("component", prints["node"]).alias("label")
     best = (
         prints.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
@@ -342,5 +454,5 @@ def similar_documents(
         .select(F.col("b.id").alias("_i"), F.col("b.h").alias("_h"))
     )
     best, _ = written(best, "kept")
-    remove(spark, prints_at, nodes_at, members_at, sets_at, *near_at, *scratch)
+    remove(spark, prints_at, nodes_at, groups_at, members_at, sets_at, *near_at, *scratch)
     return rows_of(docs, best, id_col, text_col)

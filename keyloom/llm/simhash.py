@@ -64,13 +64,9 @@ class BKTree:
         self.values: list[int] = []
         self.edges: list[dict[int, int]] = []
 
-    def link(self, value: int, radius: int) -> list[int]:
-        """Add a number; the places of those already there within the radius."""
-        if not self.values:
-            self.values.append(value)
-            self.edges.append({})
-            return []
-        near, todo = [], [0]
+    def within(self, value: int, radius: int) -> list[int]:
+        """The places of the numbers within the radius."""
+        near, todo = [], [0] if self.values else []
         values, edges = self.values, self.edges
         while todo:
             at = todo.pop()
@@ -83,16 +79,26 @@ class BKTree:
                     todo += [c for e, c in below.items() if d - radius <= e <= d + radius]
                 else:
                     todo += [below[e] for e in range(d - radius, d + radius + 1) if e in below]
+        return near
+
+    def add(self, value: int) -> None:
+        values, edges = self.values, self.edges
         at = 0
-        while True:
+        while values:
             d = (values[at] ^ value).bit_count()
             child = edges[at].get(d)
             if child is None:
                 edges[at][d] = len(values)
-                values.append(value)
-                edges.append({})
-                return near
+                break
             at = child
+        values.append(value)
+        edges.append({})
+
+    def link(self, value: int, radius: int) -> list[int]:
+        """Add a number; the places of those already there within the radius."""
+        near = self.within(value, radius)
+        self.add(value)
+        return near
 
 
 def _links(radius: int):
@@ -232,5 +238,8 @@ def rows_of(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> Dat
     text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
     rows = packed.select("row", F.col(f"row.`{id_col}`").alias("i"), F.xxhash64(text).alias("h")).select("*", F.xxhash64("i", "h").alias("k"))
     chosen = best.select("_i", "_h", F.xxhash64("_i", "_h").alias("k"))
-    kept = rows.join(chosen, "k").where(F.col("i").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")))
-    return kept.dropDuplicates(["i", "h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    # dealt by k alone, and with k among the keys, the rows stay where the join has them, so that texts are shuffled once;
+    # plain equalities would become keys of the join
+    same = F.when(F.col("i").isNull(), F.col("_i").isNull()).otherwise(F.coalesce(F.col("i") == F.col("_i"), F.lit(False)))
+    kept = rows.join(chosen, "k").where(same & (F.col("h").bitwiseXOR(F.col("_h")) == 0))
+    return kept.dropDuplicates(["k", "i", "h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
